@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from juryframe.functions import digest as D, text as T
-from juryframe.operators.ordered import run_of, with_rank
+from juryframe.operators.ordered import run_of, with_rank, with_running
 from juryframe.rubric import SEED, STATE_CAP, STATE_TOKENS, Rubric, limits
 
 EMPTY_UNIT = "empty rendered unit"
@@ -230,8 +230,6 @@ def admit_within(units: DataFrame, *, id: str, pos: str, size: str, total: int,
         rows = pool.where(F.col(size) <= left)
         if after is not None:
             rows = rows.where(F.col(pos) > after)
-        # Only the first units can fit: none is smaller than one byte, so `left + 1` rows decide the prefix.
-        from juryframe.operators.ordered import with_running
         summed = with_running(rows.select(id, pos, size), [], [F.col(pos)], run_of(F.col(pos)), sums={"_sum": F.col(size)})
         prefix = summed.where(F.col("_sum") <= left)
         got = prefix.agg(F.count("*").alias("n"), F.max("_sum").alias("used"), F.max(pos).alias("last")).first()

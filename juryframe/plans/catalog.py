@@ -1,3 +1,3 @@
 """Imports every query module, so that importing this one fills the registry."""
 
-from juryframe.plans import unit_queries  # noqa: F401
+from juryframe.plans import row_queries, shape_queries, unit_queries  # noqa: F401

@@ -66,11 +66,18 @@ def draw(seed: str, name: str, attempt: int | str, digest: str) -> str:
     return f"CAST('0x' || substr(sha256('{seed}:{name}:{attempt}:' || {digest}), 1, 8) AS BIGINT)"
 
 
-def judged(states: str, seed: str = "a", faults: bool = True) -> str:
-    """Rows of the stand-in judge over a sub-query (id, pos, state_sha256), for the standard rubric."""
+def judged(states: str, seed: str = "a", faults: bool = True, slot: str = "''") -> str:
+    """Rows of the stand-in judge over a sub-query (id, pos, state_sha256), for the standard rubric.
+
+    `slot` is the text a grouped run adds to each question name.
+    """
 
     def attempt(n: int) -> str:
-        g = lambda name: draw(seed, name, n, "state_sha256")
+        def g(name: str) -> str:
+            stem = name.rstrip("01").removesuffix(".dist")
+            mid = slot if stem in ("verdict", "safe", "quality") else "''"
+            return f"CAST('0x' || substr(sha256('{seed}:{stem}' || {mid} || '{name[len(stem):]}:{n}:' || state_sha256), 1, 8) AS BIGINT)"
+
         d, r = g("delivery"), g("route")
         cols = [f"{d} AS d", f"{r} AS r", f"{g('verdict0')} % 10001 AS v0", f"{g('verdict1')} % 101 AS v1h",
                 f"{g('safe')} % 10001 AS s", f"{g('quality0')} % 10001 AS q0", f"{g('quality1')} % 101 AS q1h",
