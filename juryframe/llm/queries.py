@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from juryframe.llm import decontaminate as D
+from juryframe.llm import decontaminate as D, mixing as M, quality as Q
+from juryframe.llm.common import cut
 from juryframe.session import configure
 from juryframe.sources.tables import table
 
@@ -54,3 +55,65 @@ def op2_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
         F.col("id").cast("long").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated", F.explode(F.sequence(F.lit(1), F.col("n_rows"))).alias("_row"),
     ).drop("_row")
+
+
+@query("op1_mixing", rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, len({_WORDS.format("coalesce(text, '')")})::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '') || ':mix') AS h FROM documents),
+s0 AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+s1 AS (SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST)) - 1) % 3 + 1] AS w, row_number() OVER (ORDER BY source NULLS LAST) AS s FROM s0),
+s2 AS (SELECT *, 2 * source_size AS most, (2 * source_size)::DOUBLE / w AS level FROM s1),
+s3 AS (SELECT *, coalesce(sum(most) OVER (ORDER BY level, s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS full_,
+  sum(w) OVER (ORDER BY level, s ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_, (sum(source_size) OVER ())::BIGINT AS total FROM s2),
+s4 AS (SELECT *, (total * 1.5::DOUBLE - full_) / open_ AS stand FROM s3),
+s5 AS (SELECT first(stand ORDER BY level, s) AS stand FROM s4 WHERE stand * w <= most),
+s6 AS (SELECT s4.source, source_size, least(most::DOUBLE, coalesce(s5.stand * w, most::DOUBLE)) AS target FROM s4 LEFT JOIN s5 ON true),
+p AS (SELECT r, doc_id, size, source_size, target, round(target)::BIGINT AS words,
+  coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS a
+  FROM d JOIN s6 ON d.source IS NOT DISTINCT FROM s6.source)
+SELECT doc_id, size, source_size, target, (greatest(least(a + size, words) - a, 0) + greatest(least(a + source_size + size, words) - a - source_size, 0))::BIGINT AS taken FROM p""")
+def op1_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """How many words of each document the mix takes, next to its source's size and target."""
+    out = M.taken(*M.mix(table(spark, folder, "documents")))
+    return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+def _listed(names: list[str]) -> str:
+    return "[" + ", ".join(f"'{x}'" for x in names) + "]"
+
+
+def _distance(counts: str, reference: str) -> str:
+    q, p = f"({counts}[i]::DOUBLE / list_sum({counts}))", f"({reference}[i]::DOUBLE / list_sum({reference}))"
+    term = lambda a: f"CASE WHEN {a} > 0 THEN {a} * log2({a} / (({p} + {q}) / 2)) ELSE 0 END"
+    return f"CASE WHEN list_sum({counts}) > 0 AND list_sum({reference}) > 0 THEN sqrt(greatest(list_sum(list_transform(range(1, len({counts}) + 1), lambda i: {term(q)} + {term(p)})) / 2, 0)) END"
+
+
+_B = Q.Bounds()
+_PER_BIN = lambda name, n: "[" + ", ".join(f"sum({name}[{i}])" for i in range(1, n + 1)) + "]"
+
+
+@query("op10_quality", rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, {_WORDS.format("coalesce(text, '')")} AS w,
+  CASE lang {" ".join(f"WHEN '{k}' THEN '{k}'" for k in Q.COMMON)} ELSE 'other' END AS lang FROM documents),
+tri AS (SELECT r, i, array_to_string(w[i:i + 2], ' ') AS g FROM d, unnest(range(1, len(w) - 1)) AS u(i)),
+twice AS (SELECT r, i FROM tri QUALIFY count(*) OVER (PARTITION BY r, g) > 1),
+rep AS (SELECT r, count(DISTINCT i + j) AS n FROM twice, unnest(range(0, 3)) AS u(j) GROUP BY r),
+m AS (SELECT r, doc_id, lang, w, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+  (length(t) - length(translate(t, '#*$%&|<>', '')))::BIGINT AS n_symbols, coalesce(rep.n, 0)::BIGINT AS n_repeat_words,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) AS lines, length(t) AS total,
+  length(t) - length(regexp_replace(t, '[\p{{Ll}}\p{{Lo}}\p{{Lm}}]+', '', 'g')) AS letters, length(t) - length(translate(t, '.,', '')) AS stops,
+  CASE lang {" ".join(f"WHEN '{k}' THEN {_listed(v)}" for k, v in Q.COMMON.items())} END AS known FROM d LEFT JOIN rep USING (r)),
+h AS (SELECT *, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+  [letters, n_symbols, stops, total - word_chars, word_chars - letters - n_symbols - stops] AS chars,
+  CASE WHEN known IS NOT NULL THEN list_concat(list_transform(range(1, {Q.BINS + 1}), lambda k: len(list_filter(w, lambda x: x = known[k]))), [len(list_filter(w, lambda x: NOT list_contains(known, x)))]) END AS common FROM m),
+ref AS (SELECT lang, {_PER_BIN("chars", Q.CHAR_BINS)} AS rc, {_PER_BIN("common", Q.BINS + 1)} AS rw FROM h GROUP BY lang),
+v AS (SELECT h.*, {_distance("chars", "rc")} AS dc, CASE WHEN common IS NOT NULL THEN {_distance("common", "rw")} END AS dw FROM h JOIN ref USING (lang)),
+b AS (SELECT *, n_words < {_B.min_words} OR 100 * n_repeat_words > {_B.max_repeat_percent} * n_words AS base_failed FROM v)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT (n_words >= {_B.guard_chars_words} AND coalesce(dc, 0) > {_B.max_char_distance} OR n_words >= {_B.guard_common_words} AND coalesce(dw, 0) > {_B.max_word_distance}) AS kept FROM b""")
+def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Plain measures and the divergence verdict of each document."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    measured = cut(Q.measures(docs).select("doc_id", "_q"))
+    out = Q.verdict(measured, Q.references(measured))
+    return out.select("doc_id", *[f"_q.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], "base_failed", "kept")
