@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from juryframe.llm import decontaminate as D, mixing as M, quality as Q
+from juryframe.llm import decontaminate as D, mixing as M, quality as Q, secrets as S
 from juryframe.llm.common import cut
 from juryframe.session import configure
 from juryframe.sources.tables import table
@@ -117,3 +117,27 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     measured = cut(Q.measures(docs).select("doc_id", "_q"))
     out = Q.verdict(measured, Q.references(measured))
     return out.select("doc_id", *[f"_q.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], "base_failed", "kept")
+
+
+def _found(rule: S.Rule, order: int) -> str:
+    """DuckDB: spans of one rule by the lengths of matches and of the texts between them."""
+    pattern = "'" + rule.pattern.replace("'", "''") + "'"
+    return rf"""list_filter(list_transform(range(1, len(regexp_extract_all(t, {pattern})) + 1), lambda i: {{
+  'a': coalesce(list_sum(list_transform(string_split_regex(t, {pattern})[1:i], lambda x: length(x))), 0)::BIGINT + coalesce(list_sum(list_transform(regexp_extract_all(t, {pattern})[1:i - 1], lambda x: length(x))), 0)::BIGINT,
+  'o': {order}, 'k': '{rule.kind}', 'n': length(regexp_extract_all(t, {pattern})[i]), 'g': length(regexp_extract_all(t, {pattern}, {rule.group})[i])}}), lambda s: s.g >= {rule.least})"""
+
+
+@query("op3_secrets", rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+f AS (SELECT doc_id, {", ".join(f"{_found(r, i)} AS {r.kind}" for i, r in enumerate(S.RULES))} FROM d),
+g AS (SELECT *, list_sort({" || ".join(r.kind for r in S.RULES)}) AS everything, list_sort({" || ".join(r.kind for r in S.RULES if r.base)}) AS base FROM f)
+SELECT doc_id, {", ".join(f"len({r.kind})::BIGINT AS n_{r.kind}" for r in S.RULES if r.base)},
+  sha256(array_to_string(list_transform(base, lambda s: s.k || ':' || s.a || ':' || (s.a + s.n)), ',')) AS base_sha256,
+  array_to_string(list_transform(everything, lambda s: s.k || ':' || s.a || ':' || (s.a + s.n)), ',') AS spans FROM g""")
+def op3_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets in each document: counts, a digest and the list of spans."""
+    out = S.scan(table(spark, folder, "documents"))
+    base = F.filter("spans", lambda s: s["kind"].isin([r.kind for r in S.RULES if r.base]))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    counts = [count(r.kind).alias(f"n_{r.kind}") for r in S.RULES if r.base]
+    return out.select(F.col("id").alias("doc_id"), *counts, F.sha2(S.listed(base), 256).alias("base_sha256"), S.listed(F.col("spans")).alias("spans"))
