@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from juryframe.llm import decontaminate as D, mixing as M, quality as Q, secrets as S
+from juryframe.llm import decontaminate as D, mixing as M, quality as Q, secrets as S, shingle_join as J
 from juryframe.llm.common import cut
 from juryframe.session import configure
 from juryframe.sources.tables import table
@@ -141,3 +141,17 @@ def op3_secrets(spark: SparkSession, folder: str) -> DataFrame:
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     counts = [count(r.kind).alias(f"n_{r.kind}") for r in S.RULES if r.base]
     return out.select(F.col("id").alias("doc_id"), *counts, F.sha2(S.listed(base), 256).alias("base_sha256"), S.listed(F.col("spans")).alias("spans"))
+
+
+@query("op6_shingle_join", rf"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.format(_FOLD)} AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS s FROM d, unnest(range(1, greatest(len(w) - 2, least(len(w), 1)) + 1)) AS u(i)),
+c AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM g a JOIN g b USING (s) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN c cx ON cx.doc_id = x JOIN c cy ON cy.doc_id = y WHERE 100 * k >= 90 * (cx.n + cy.n - k)),
+r(doc_id, seen) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, l.y FROM r JOIN l ON l.x = r.seen)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM (SELECT doc_id, min(seen) AS component_id FROM r GROUP BY doc_id) LEFT JOIN c USING (doc_id)""")
+def op6_shingle_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Component of each document under a Jaccard similarity of 0.9 of three-word shingles."""
+    rows, _ = J.similar_documents(table(spark, folder, "documents"))
+    return rows.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
