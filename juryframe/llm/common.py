@@ -22,10 +22,14 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def fresh_path(spark: SparkSession) -> str:
+    """A new folder in the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write `df` as Parquet to the shared checkpoint folder and read it back: later steps start from these files."""
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
+    spark, path = df.sparkSession, fresh_path(df.sparkSession)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from juryframe.llm import decontaminate as D, mixing as M, quality as Q, secrets as S, shingle_join as J
-from juryframe.llm.common import cut
+from juryframe.llm import decontaminate as D, mixing as M, quality as Q, secrets as S, shingle_join as J, tokens as T
+from juryframe.llm.common import cut, fresh_path
 from juryframe.session import configure
 from juryframe.sources.tables import table
 
@@ -155,3 +155,22 @@ def op6_shingle_join(spark: SparkSession, folder: str) -> DataFrame:
     """Component of each document under a Jaccard similarity of 0.9 of three-word shingles."""
     rows, _ = J.similar_documents(table(spark, folder, "documents"))
     return rows.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+def word_vocabulary() -> str:
+    """The vocabulary file of the token query; any other tokenizer file may be given to the operator."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def token_rows(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 as read back from the token files of `docs`."""
+    out = T.read(T.write(docs, word_vocabulary(), fresh_path(spark)))
+    return out.select(F.col("id").alias("doc_id"), "start", "n_tokens", F.col("crc").alias("ids_crc32"))
+
+
+@query("op4_tokens")
+def op4_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """Where each document stands in the token files, how long it is, and a checksum of its ids."""
+    return token_rows(spark, table(spark, folder, "documents"))

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from juryframe.llm import words as W
 from juryframe.llm.common import batches, cut, prepare
@@ -132,6 +132,21 @@ def _verify(like: Similar):
     return lambda source: batches(rows(source), schema)
 
 
+def _room(like: Similar):
+    """Pairs whose column-group counts leave room for the overlap that their sizes require."""
+    schema = pa.schema([("x", pa.int64()), ("y", pa.int64())])
+
+    def run(source):
+        for batch in source:
+            x, y, n, m = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            one, two = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u2").reshape(-1, BINS) for i in (4, 5))
+            room = np.minimum(one, two).sum(1, dtype=np.int64)
+            keep = (room * (like.num + like.den) >= (n + m) * like.num) | (n > 65535)
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]), pa.array(y[keep])], schema=schema)
+
+    return run
+
+
 def _links(docs: DataFrame, pairs: DataFrame, doc_id: str, text: str, like: Similar) -> DataFrame:
     """Those of the pairs (x, y) whose full sets are similar enough."""
     spark = docs.sparkSession
@@ -144,26 +159,21 @@ def _links(docs: DataFrame, pairs: DataFrame, doc_id: str, text: str, like: Simi
     return cut(joined.select("x", "y", "a", "b").mapInArrow(_verify(like), "x long, y long"))
 
 
-def _may(like: Similar, a: str, b: str) -> Column:
-    """Size and place bounds of a pair of block rows, `a` the smaller by (n, id)."""
-    n, m, i, j = (F.col(x) for x in (f"{a}.n", f"{b}.n", f"{a}.pos", f"{b}.pos"))
-    need = F.ceil((n + m) * like.num / (like.num + like.den))
-    return (n * like.den >= m * like.num) & (n - i >= F.ceil(n * 2 * like.num / (like.num + like.den))) & (n - i >= need) & (m - j >= need)
-
-
 def _search(like: Similar):
     """Pairs of different components within each block (or tile pair) that all bounds leave open."""
     schema = pa.schema([("x", pa.int64()), ("y", pa.int64())])
 
-    def one(ids, n, pos, comp, side, split, bins):
+    def one(ids, n, pos, comp, side, upper, split, bins):
         order = np.lexsort((ids, n))
-        ids, n, pos, comp, side, bins = ids[order], n[order], pos[order], comp[order], side[order], bins[order]
+        ids, n, pos, comp, side, upper, bins = ids[order], n[order], pos[order], comp[order], side[order], upper[order], bins[order]
         for a in range(len(ids) - 1):
             m = n[a + 1:]
             need = -(-(n[a] + m) * like.num // (like.num + like.den))
             may = (n[a] * like.den >= m * like.num) & (comp[a + 1:] != comp[a]) & (n[a] - pos[a] >= need) & (m - pos[a + 1:] >= need)
             if split:
                 may &= side[a + 1:] != side[a]
+            if upper[a]:
+                may &= upper[a + 1:] == 0
             if n[a] - pos[a] < -(-2 * n[a] * like.num // (like.num + like.den)):
                 continue
             at = np.flatnonzero(may)
@@ -178,13 +188,13 @@ def _search(like: Similar):
 
         def groups():
             for batch in source:
-                part = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(8)] + [batch.column(8)]
-                keys = np.stack(part[:3])
+                part = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(10)] + [batch.column(10)]
+                keys = np.stack(part[:4])
                 edges = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1
                 at = [0, *edges.tolist(), batch.num_rows]
                 for lo, hi in zip(at[:-1], at[1:]):
-                    piece = [c[lo:hi] for c in part[:8]] + [np.frombuffer(b"".join(part[8].slice(lo, hi - lo).to_pylist()), "<u2").reshape(-1, BINS)]
-                    if held and all(held[0][i][0] == piece[i][0] for i in range(3)):
+                    piece = [c[lo:hi] for c in part[:10]] + [np.frombuffer(b"".join(part[10].slice(lo, hi - lo).to_pylist()), "<u2").reshape(-1, BINS)]
+                    if held and all(held[0][i][0] == piece[i][0] for i in range(4)):
                         held.append(piece)
                     else:
                         if held:
@@ -194,9 +204,9 @@ def _search(like: Similar):
                 yield [np.concatenate(c) for c in zip(*held)] if len(held) > 1 else held[0]
 
         seen: set = set()
-        for _, lo, hi, ids, n, pos, comp, side, bins in groups():
+        for _, _, lo, hi, ids, n, pos, comp, side, upper, bins in groups():
             if len(ids) > 1:
-                for pair in one(ids, n, pos, comp, side, lo[0] != hi[0], bins):
+                for pair in one(ids, n, pos, comp, side, upper, lo[0] != hi[0], bins):
                     if pair not in seen:
                         seen.add(pair)
                         yield pair
@@ -222,27 +232,30 @@ def similar_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
     reps = rows.select("digest", "id", "n", "lead", "bins").join(classes, "digest").where("id = rep")
     cells = reps.select("id", "n", F.posexplode("lead").alias("pos", "h"))
     blocks = cells.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
-    cells = cut(cells.join(blocks, "h").withColumn("c", F.floor(F.log("n") / math.log(like.den / like.num))))
-
-    leaders = cells.groupBy("h", "c").agg(F.min(F.struct(F.xxhash64("id").alias("o"), "id", "n", "pos")).alias("l")).select("h", "c", "l.id", "l.n", "l.pos")
-    near = cells.select("h", F.explode(F.array(F.col("c"), F.col("c") - 1)).alias("c"), "id", "n", "pos").alias("a")
-    met = near.join(leaders.alias("b"), ["h", "c"]).where("a.id <> b.id")
-    small = F.struct("a.n", "a.id") < F.struct("b.n", "b.id")
-    met = met.where((small & _may(like, "a", "b")) | (~small & _may(like, "b", "a")))
-    star = cut(met.select(F.least("a.id", "b.id").alias("x"), F.greatest("a.id", "b.id").alias("y")).distinct())
+    step = math.log(like.den / like.num)
+    cells = cells.join(blocks, "h").withColumn("c", F.floor(F.log("n") / step).cast("int"))
+    near = cut(cells.withColumn("k", F.explode(F.array(F.col("c"), F.col("c") - 1))).withColumn("upper", F.col("k") < F.col("c")).select("h", "k", "upper", "id", "n", "pos"))
+    leader = F.min(F.when(~F.col("upper"), F.struct(F.xxhash64("id").alias("o"), "id", "n")))
+    groups = near.groupBy("h", "k").agg(F.count("*").alias("m"), leader.alias("l")).where("m > 1 AND l IS NOT NULL").select("h", "k", "m", F.col("l.id").alias("l"), F.col("l.n").alias("ln"))
+    near = cut(near.join(groups, ["h", "k"]))
+
+    alike = (F.least("n", "ln") * like.den >= F.greatest("n", "ln") * like.num) & (F.col("id") != F.col("l"))
+    star = near.where(alike).select(F.least("id", "l").alias("x"), F.greatest("id", "l").alias("y")).distinct()
+    part = reps.select("id", "n", "bins")
+    star = star.join(part.toDF("x", "n", "a"), "x").join(part.toDF("y", "m", "b"), "y").select("x", "y", "n", "m", "a", "b")
+    star = cut(star.mapInArrow(_room(like), "x long, y long").distinct())
     links = _links(docs, star, doc_id, text, like)
 
     known = components(links)
-    placed = cells.join(known.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("root", "id"))
-    placed = cut(placed.select("h", "m", "id", "n", "pos", "comp"))
-    mixed = placed.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("h")
-    fair = F.col("n") - F.col("pos") >= F.ceil(F.col("n") * like.num / like.den)
-    open_ = placed.join(mixed, "h").where(fair).withColumn("tiles", F.ceil(F.col("m") / TILE).cast("int"))
+    placed = near.join(known.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("root", "id"))
+    placed = cut(placed.select("h", "k", "m", "upper", "id", "n", "pos", "comp"))
+    mixed = placed.groupBy("h", "k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("h", "k")
+    open_ = placed.join(mixed, ["h", "k"]).withColumn("tiles", F.ceil(F.col("m") / TILE).cast("int"))
     open_ = open_.withColumn("side", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    open_ = open_.withColumn("t1", F.least("side", "other")).withColumn("t2", F.greatest("side", "other"))
-    open_ = open_.join(reps.select("id", "bins"), "id").select("h", "t1", "t2", "id", "n", "pos", "comp", "side", "bins")
+    open_ = open_.withColumn("t1", F.least("side", "other")).withColumn("t2", F.greatest("side", "other")).withColumn("upper", F.col("upper").cast("int"))
+    open_ = open_.join(part.select("id", "bins"), "id").select("h", "k", "t1", "t2", "id", "n", "pos", "comp", "side", "upper", "bins")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = open_.repartition(parts, "h", "t1", "t2").sortWithinPartitions("h", "t1", "t2").mapInArrow(_search(like), "x long, y long").distinct()
+    found = open_.repartition(parts, "h", "k", "t1", "t2").sortWithinPartitions("h", "k", "t1", "t2").mapInArrow(_search(like), "x long, y long").distinct()
     found = cut(found.join(star, ["x", "y"], "left_anti"))
     links = links.unionByName(_links(docs, found, doc_id, text, like))
 
