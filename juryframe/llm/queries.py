@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from juryframe.llm import decontaminate as D, mixing as M, quality as Q, secrets as S, shingle_join as J, tokens as T
+from juryframe.llm import decontaminate as D, lm as L, mixing as M, quality as Q, secrets as S, shingle_join as J, tokens as T
 from juryframe.llm.common import cut, fresh_path
 from juryframe.session import configure
 from juryframe.sources.tables import table
@@ -174,3 +174,9 @@ def token_rows(spark: SparkSession, docs: DataFrame) -> DataFrame:
 def op4_tokens(spark: SparkSession, folder: str) -> DataFrame:
     """Where each document stands in the token files, how long it is, and a checksum of its ids."""
     return token_rows(spark, table(spark, folder, "documents"))
+
+
+@query("op5_lm")
+def op5_lm(spark: SparkSession, folder: str) -> DataFrame:
+    """Log10 probability of each document under the interpolated model, next to the plain unigram score."""
+    return L.scored(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
