@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from juryframe.llm import decontaminate as D, lm as L, mixing as M, quality as Q, secrets as S, shingle_join as J, tokens as T
+from juryframe.llm import decontaminate as D, lm as L, mixing as M, quality as Q, secrets as S, shingle_join as J, substrings as R, tokens as T
 from juryframe.llm.common import cut, fresh_path
 from juryframe.session import configure
 from juryframe.sources.tables import table
@@ -180,3 +180,18 @@ def op4_tokens(spark: SparkSession, folder: str) -> DataFrame:
 def op5_lm(spark: SparkSession, folder: str) -> DataFrame:
     """Log10 probability of each document under the interpolated model, next to the plain unigram score."""
     return L.scored(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query("op7_substrings", rf"""
+WITH d AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+x AS (SELECT doc_id, i, hash(array_to_string(w[i:i + 49], ' ')) AS h FROM d, unnest(range(1, len(w) - 48)) AS u(i)),
+m AS (SELECT h, min(doc_id) AS least FROM x GROUP BY h),
+g AS (SELECT doc_id, list(DISTINCT i + j) AS gone FROM x JOIN m USING (h), unnest(range(0, 50)) AS u(j) WHERE least < doc_id GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+  sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda x, k: NOT list_contains(gone, k)) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN g USING (doc_id)""")
+def op7_substrings(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of each document that earlier documents hold in runs of fifty, and a digest of what is left."""
+    rows, changed = R.repeats_removed(table(spark, folder, "documents"))
+    out = rows.join(changed.select("id", "key", "n_removed", F.sha2("kept", 256).alias("left")), ["id", "key"], "left")
+    return out.select(F.col("id").alias("doc_id"), "n_words", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("left", "sha").alias("kept_sha256"))
