@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from juryframe.llm import decontaminate as D, lm as L, mixing as M, quality as Q, secrets as S, shingle_join as J, substrings as R, tokens as T
+from juryframe.llm import decontaminate as D, html_text as H, lm as L, mixing as M, pii as P, quality as Q, secrets as S, shingle_join as J, substrings as R, tokens as T
 from juryframe.llm.common import cut, fresh_path
 from juryframe.session import configure
 from juryframe.sources.tables import table
@@ -195,3 +195,16 @@ def op7_substrings(spark: SparkSession, folder: str) -> DataFrame:
     rows, changed = R.repeats_removed(table(spark, folder, "documents"))
     out = rows.join(changed.select("id", "key", "n_removed", F.sha2("kept", 256).alias("left")), ["id", "key"], "left")
     return out.select(F.col("id").alias("doc_id"), "n_words", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("left", "sha").alias("kept_sha256"))
+
+
+@query("op8_pii")
+def op8_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in each document: counts and digest of the plain matches, list of all spans."""
+    out = P.scan(table(spark, folder, "documents"))
+    return out.select(F.col("id").alias("doc_id"), *[f"n_{k}" for k in P.KINDS], F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+@query("op9_html")
+def op9_html(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of each page."""
+    return H.extract(table(spark, folder, "pages"))
