@@ -182,8 +182,8 @@ def repeats_removed(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     rows = cut(body.mapInArrow(run, schema))
     cells = rows.where("id IS NOT NULL").select("id", "key", F.explode(F.arrays_zip("h", "at")).alias("c")).select("id", "key", "c.h", "c.at")
     shared = cells.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("m")).where("lo < hi")
-    met = cells.join(shared.select("h", (F.col("m") > MOST_SHARED).alias("wide")), "h").distinct()
-    open_ = cut(met.groupBy("id", "key").agg(F.collect_list(F.struct("at", "wide")).alias("c")).select("id", "key", F.col("c.at").alias("at"), F.col("c.wide").alias("wide")))
+    met = cells.join(shared.select("h", (F.col("m") > MOST_SHARED).alias("wide")), "h")
+    open_ = cut(met.groupBy("id", "key").agg(F.collect_set(F.struct("at", "wide")).alias("c")).select("id", "key", F.col("c.at").alias("at"), F.col("c.wide").alias("wide")))
 
     table = spark.sparkContext.broadcast(bit_table(open_.select(F.xxhash64("id", "key").alias("fp"))))
     likely = body.where("id IS NOT NULL").select("id", "key", F.xxhash64("id", "key").alias("fp"), "body").mapInArrow(_wanted(table), "id long, key long, fp long, body binary")

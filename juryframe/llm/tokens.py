@@ -23,7 +23,7 @@ MAGIC = b"WAVE1\n"
 BLOCK = 512
 FILE_TOKENS = 1 << 20
 #: Words whose ids a worker keeps; beyond that, words are encoded again.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 
 
 class WaveletMatrix:
@@ -135,19 +135,43 @@ def unpack(body: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix]:
 _CACHE: dict[int, tuple[int, ...]] = {}
 
 
-def _encoded(batch: pa.RecordBatch, column: int, tokenizer) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, ids) of each text. The tokenizer works inside ASCII-space-separated words, so each word is encoded once."""
-    for row, to, data, bounds in W.chunks(batch.column(column), 4 << 20):
-        found = W.scan(data, bounds, W.SPACED)
+#: ASCII letters and digits, and signs that may stand beside them in a piece of their own.
+ALNUM = np.zeros(256, bool)
+ALNUM[48:58] = ALNUM[65:91] = ALNUM[97:123] = True
+SIGNS = ".,;:!?*#$%&|"
+SIGN = np.zeros(256, bool)
+SIGN[[ord(c) for c in SIGNS]] = True
+
+
+def pieces_of(tokenizer) -> tuple[bool, bool, bool]:
+    """What the tokenizer does to texts: (drops white space between words, parts signs from letters, folds ASCII case).
+
+    Where it does, equal pieces have equal ids wherever they stand, and each is encoded once.
+    """
+    ids = lambda s: tokenizer.encode(s, add_special_tokens=False).ids
+    drops = all(ids(f"ab{c}cd{c}") == ids("ab") + ids("cd") for c in " \t\n\v\f\r")
+    parts = drops and all(ids(f"ab{c}{c}cd9{c}7") == ids("ab") + ids(c + c) + ids("cd9") + ids(c) + ids("7") for c in SIGNS)
+    return drops, parts, drops and all(ids(chr(65 + i) + "a") == ids(chr(97 + i) + "a") for i in range(26))
+
+
+def _encoded(batch: pa.RecordBatch, column: int, tokenizer, how: tuple[bool, bool, bool]) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, ids) of each text."""
+    drops, parts, folds = how
+    if not drops:
+        for row, text in enumerate(batch.column(column).to_pylist()):
+            yield row, np.array(tokenizer.encode(text.decode(), add_special_tokens=False).ids, np.uint32)
+        return
+    for row, to, data, bounds in W.chunks(batch.column(column), 2 << 20):
+        found = W.scan(data, bounds, W.SPACED, W.LOWER if folds else W.SAME, (ALNUM, SIGN) if parts else None)
         distinct, at, inverse = np.unique(found.hash, return_index=True, return_inverse=True)
         keys = distinct.tolist()
         known: list = [_CACHE.get(k) for k in keys]
         missing = [i for i, v in enumerate(known) if v is None]
         start, end = found.start[at].tolist(), found.end[at].tolist()
-        for lo in range(0, len(missing), 8192):
-            part = missing[lo:lo + 8192]
-            texts = [data[start[i]:end[i]].tobytes().decode() for i in part]
-            for i, e in zip(part, tokenizer.encode_batch(texts, add_special_tokens=False)):
+        for lo in range(0, len(missing), 4096):
+            some = missing[lo:lo + 4096]
+            texts = [data[start[i]:end[i]].tobytes().decode() for i in some]
+            for i, e in zip(some, tokenizer.encode_batch(texts, add_special_tokens=False)):
                 known[i] = tuple(e.ids)
                 if len(_CACHE) < CACHE_WORDS:
                     _CACHE[keys[i]] = known[i]
@@ -163,7 +187,7 @@ def _encoded(batch: pa.RecordBatch, column: int, tokenizer) -> Iterator[tuple[in
             yield row + i, ids[edges[i]:edges[i + 1]]
 
 
-def _write(shared, end_id: int, levels: int, file_tokens: int):
+def _write(shared, how: tuple[bool, bool, bool], end_id: int, levels: int, file_tokens: int):
     schema = pa.schema([("shard", pa.int32()), ("file", pa.int32()), ("n_tokens", pa.int64()), ("body", pa.binary())])
 
     def files(source):
@@ -174,7 +198,7 @@ def _write(shared, end_id: int, levels: int, file_tokens: int):
         ids, sizes, held, total = [], [], [], 0
         for batch in source:
             docs = batch.column(0).to_pylist()
-            for row, tokens in _encoded(batch, 1, tokenizer):
+            for row, tokens in _encoded(batch, 1, tokenizer, how):
                 ids.append(docs[row])
                 held += [tokens, np.array([end_id], np.uint32)]
                 sizes.append(len(tokens) + 1)
@@ -195,10 +219,13 @@ def write(docs: DataFrame, vocabulary: str, path: str, *, doc_id: str = "doc_id"
     `vocabulary` is a tokenizer file of the tokenizers library, read on the driver. Null and empty texts give the end
     id alone. Null ids come first; rows that share an id stay neighbours, ordered by a hash of their text.
     """
+    from tokenizers import Tokenizer
+
     spark = prepare(docs.sparkSession)
     with open(vocabulary, encoding="utf-8") as file:
-        shared = spark.sparkContext.broadcast(file.read())
-    run, schema = _write(shared, end_id, levels, file_tokens)
+        rules = file.read()
+    shared, how = spark.sparkContext.broadcast(rules), pieces_of(Tokenizer.from_str(rules))
+    run, schema = _write(shared, how, end_id, levels, file_tokens)
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body"), row_key(F.col(text)).alias("key"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = rows.repartitionByRange(parts, "id", "key").sortWithinPartitions("id", "key").select("id", "body")

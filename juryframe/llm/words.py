@@ -85,8 +85,11 @@ class Words:
         return b" ".join(fold[data[a:b]].tobytes() for a, b in zip(self.start[i:j].tolist(), self.end[i:j].tolist()))
 
 
-def scan(data: np.ndarray, bounds: np.ndarray, kind: np.ndarray, fold: np.ndarray = SAME) -> Words:
-    """Words of the texts data[bounds[i]:bounds[i + 1]]; `kind` tells word bytes, `fold` maps bytes before hashing."""
+def scan(data: np.ndarray, bounds: np.ndarray, kind: np.ndarray, fold: np.ndarray = SAME, part: tuple[np.ndarray, np.ndarray] | None = None) -> Words:
+    """Words of the texts data[bounds[i]:bounds[i + 1]]; `kind` tells word bytes, `fold` maps bytes before hashing.
+
+    `part` names two kinds of bytes between which, in either order, a word is cut in two.
+    """
     n = len(data)
     inside = kind[fold][data]
     edge = np.empty(n + 1, np.int8)
@@ -97,6 +100,9 @@ def scan(data: np.ndarray, bounds: np.ndarray, kind: np.ndarray, fold: np.ndarra
     cut = bounds[1:-1]
     cut = np.unique(cut[(cut > 0) & (cut < n)])
     cut = cut[inside[cut] & inside[cut - 1]]
+    if part is not None and n:
+        one, two = part[0][data], part[1][data]
+        cut = np.union1d(cut, np.flatnonzero(one[:-1] & two[1:] | two[:-1] & one[1:]) + 1)
     start = np.flatnonzero(edge == 1)
     end = np.flatnonzero(edge == -1)
     if len(cut):
