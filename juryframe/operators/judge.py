@@ -133,20 +133,21 @@ def oversize(item: Column) -> Column:
 def run(states: DataFrame, rubric: Rubric, judge, *, grouped: bool = False, qhash: str | None = None) -> DataFrame:
     """Judge every state, once more those that are neither good nor too large, and return one row per unit.
 
-    Both passes are narrow: a state's second attempt happens in the task of its first. `states` needs id, pos,
-    state_sha256, `state` for a BatchJudge and `slots` (array of unit ids) for grouped states.
+    The items of each attempt and the rows are written once, so no state is sent again when a task is repeated or a
+    consumer reads the rows twice, and each answer is parsed once. Only states that need it go through the second
+    attempt. `states` needs id, pos, state_sha256, `state` for a BatchJudge and `slots` (array of unit ids) for
+    grouped states.
     """
     rubric.check_columns()
     asked = rubric if not grouped else None
     slots = F.col("slots") if grouped else None
     if grouped:
         asked = rubric.slotted(getattr(judge, "width", 8))
-    one = judge.answer(states, asked, 1, F.lit(True), "_first")
-    one = one.withColumn("_again", ~(good(F.col("_first"), rubric, slots) | oversize(F.col("_first"))))
-    two = judge.answer(one, asked, 2, F.col("_again"), "_second")
-    item = F.when(F.col("_again"), F.col("_second")).otherwise(F.col("_first"))
-    out = two.withColumn("item", item).withColumn("attempt", F.when(F.col("_again"), 2).otherwise(1))
-    return to_rows(out.drop("_first", "_second", "_again"), rubric, grouped=grouped, qhash=qhash)
+    one = cut_lineage(judge.answer(states, asked, 1, F.lit(True), "item"))
+    one = cut_lineage(one.withColumn("_again", ~(good(F.col("item"), rubric, slots) | oversize(F.col("item")))))
+    two = cut_lineage(judge.answer(one.where("_again").drop("item"), asked, 2, F.lit(True), "item"))
+    out = one.where("NOT _again").withColumn("attempt", F.lit(1)).unionByName(two.withColumn("attempt", F.lit(2)))
+    return cut_lineage(to_rows(out.drop("_again"), rubric, grouped=grouped, qhash=qhash))
 
 
 def to_rows(items: DataFrame, rubric: Rubric, *, grouped: bool = False, qhash: str | None = None) -> DataFrame:
@@ -157,7 +158,7 @@ def to_rows(items: DataFrame, rubric: Rubric, *, grouped: bool = False, qhash: s
     base = F.coalesce(item["error"], F.lit("invalid judge answer"))
     failure = (F.when(item.isNull(), NOT_DELIVERED)
                .when(~is_good & oversize(item), F.concat(
-                   F.lit("oversize: max_tokens_exceeded; shrink or split this state ("), F.left(base, F.lit(400)), F.lit(")")))
+                   F.lit("oversize: max_tokens_exceeded; shrink or split this state ("), base, F.lit(")")))
                .when(~is_good, base))
     df = items.withColumn("error", failure).withColumn("_answers", F.try_parse_json(item["answers"]))
     keep = [c for c in ("pos", "attempt", "batch_id", "judged_at") if c in items.columns]
