@@ -8,9 +8,11 @@ store that Spark reads will do.
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +24,8 @@ from juryframe.llm.common import batches, prepare, row_key
 MAGIC = b"WAVE1\n"
 BLOCK = 512
 FILE_TOKENS = 1 << 20
-#: Words whose ids a worker keeps; beyond that, words are encoded again.
-CACHE_WORDS = 200_000
+#: Pieces whose ids a worker keeps; beyond that, it starts anew.
+CACHE_WORDS = 1_000_000
 
 
 class WaveletMatrix:
@@ -35,9 +37,9 @@ class WaveletMatrix:
 
     @classmethod
     def build(cls, values: np.ndarray, levels: int) -> WaveletMatrix:
-        now, planes, zeros = values.astype(np.uint32), [], []
+        now, planes, zeros = values.astype(np.uint16 if levels <= 16 else np.uint32), [], []
         for level in range(levels - 1, -1, -1):
-            bit = (now >> np.uint32(level) & np.uint32(1)).astype(bool)
+            bit = (now >> level & 1).astype(bool)
             planes.append(np.packbits(bit))
             zeros.append(int(len(bit) - bit.sum()))
             now = np.concatenate([now[~bit], now[bit]])
@@ -132,7 +134,49 @@ def unpack(body: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix]:
     return [i if ok else None for i, ok in zip(ids.tolist(), given.tolist())], sizes, WaveletMatrix(n, planes, zeros)
 
 
-_CACHE: dict[int, tuple[int, ...]] = {}
+class Known:
+    """Ids of pieces that were encoded before, by the hash of the piece; all are forgotten beyond CACHE_WORDS pieces."""
+
+    def __init__(self) -> None:
+        self.hash, self.flat = np.empty(0, np.uint64), np.empty(0, np.uint32)
+        self.first = self.size = np.empty(0, np.int64)
+
+    def absent(self, hashes: np.ndarray) -> np.ndarray:
+        """Places of the hashes (sorted, distinct) that are not known."""
+        if len(self.hash) > CACHE_WORDS:
+            self.__init__()
+        if not len(self.hash):
+            return np.arange(len(hashes))
+        at = np.minimum(np.searchsorted(self.hash, hashes), len(self.hash) - 1)
+        return np.flatnonzero(self.hash[at] != hashes)
+
+    def add(self, hashes: np.ndarray, ids: list[list[int]]) -> None:
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        first = len(self.flat) + np.cumsum(sizes) - sizes
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))])
+        at = np.searchsorted(self.hash, hashes)
+        self.hash, self.first, self.size = (np.insert(old, at, new) for old, new in ((self.hash, hashes), (self.first, first), (self.size, sizes)))
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first place in `flat`, number of ids) of each hash; all must be known."""
+        at = np.searchsorted(self.hash, hashes)
+        return self.first[at], self.size[at]
+
+
+#: The tokenizer a worker used last, with its pieces, by the text of its file.
+_LAST: dict[str, tuple] = {}
+
+
+def _tokenizer(rules: str) -> tuple:
+    """(tokenizer, known pieces) of a tokenizer file; tasks that follow each other in a worker share them."""
+    if rules not in _LAST:
+        # a task has one core; the library's own threads only add memory
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        _LAST.clear()
+        _LAST[rules] = Tokenizer.from_str(rules), Known()
+    return _LAST[rules]
 
 
 #: ASCII letters and digits, and signs that may stand beside them in a piece of their own.
@@ -154,34 +198,28 @@ def pieces_of(tokenizer) -> tuple[bool, bool, bool]:
     return drops, parts, drops and all(ids(chr(65 + i) + "a") == ids(chr(97 + i) + "a") for i in range(26))
 
 
-def _encoded(batch: pa.RecordBatch, column: int, tokenizer, how: tuple[bool, bool, bool]) -> Iterator[tuple[int, np.ndarray]]:
+def _encoded(batch: pa.RecordBatch, column: int, tokenizer, known: Known, how: tuple[bool, bool, bool]) -> Iterator[tuple[int, np.ndarray]]:
     """(row, ids) of each text."""
     drops, parts, folds = how
     if not drops:
         for row, text in enumerate(batch.column(column).to_pylist()):
             yield row, np.array(tokenizer.encode(text.decode(), add_special_tokens=False).ids, np.uint32)
         return
-    for row, to, data, bounds in W.chunks(batch.column(column), 2 << 20):
+    for row, to, data, bounds in W.chunks(batch.column(column)):
         found = W.scan(data, bounds, W.SPACED, W.LOWER if folds else W.SAME, (ALNUM, SIGN) if parts else None)
         distinct, at, inverse = np.unique(found.hash, return_index=True, return_inverse=True)
-        keys = distinct.tolist()
-        known: list = [_CACHE.get(k) for k in keys]
-        missing = [i for i, v in enumerate(known) if v is None]
-        start, end = found.start[at].tolist(), found.end[at].tolist()
-        for lo in range(0, len(missing), 4096):
-            some = missing[lo:lo + 4096]
-            texts = [data[start[i]:end[i]].tobytes().decode() for i in some]
-            for i, e in zip(some, tokenizer.encode_batch(texts, add_special_tokens=False)):
-                known[i] = tuple(e.ids)
-                if len(_CACHE) < CACHE_WORDS:
-                    _CACHE[keys[i]] = known[i]
-        sizes = np.fromiter((len(v) for v in known), np.int64, len(known))
-        flat = np.fromiter((x for v in known for x in v), np.uint32, int(sizes.sum()))
-        first = np.concatenate([[0], np.cumsum(sizes)])[:-1]
+        missing = known.absent(distinct)
+        start, end = found.start[at[missing]].tolist(), found.end[at[missing]].tolist()
+        fresh: list[list[int]] = []
+        for lo in range(0, len(start), 4096):
+            texts = [data[a:b].tobytes().decode() for a, b in zip(start[lo:lo + 4096], end[lo:lo + 4096])]
+            fresh += [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+        known.add(distinct[missing], fresh)
+        first, sizes = known.find(distinct)
         per = sizes[inverse]
         ends = np.cumsum(per)
         total = int(ends[-1]) if len(ends) else 0
-        ids = flat[np.repeat(first[inverse] - (ends - per), per) + np.arange(total)] if total else flat[:0]
+        ids = known.flat[np.repeat(first[inverse] - (ends - per), per) + np.arange(total)]
         edges = np.concatenate([[0], ends])[found.first]
         for i in range(to - row):
             yield row + i, ids[edges[i]:edges[i + 1]]
@@ -192,13 +230,12 @@ def _write(shared, how: tuple[bool, bool, bool], end_id: int, levels: int, file_
 
     def files(source):
         from pyspark import TaskContext
-        from tokenizers import Tokenizer
 
-        tokenizer, shard, number = Tokenizer.from_str(shared.value), TaskContext.get().partitionId(), 0
+        (tokenizer, known), shard, number = _tokenizer(shared.value), TaskContext.get().partitionId(), 0
         ids, sizes, held, total = [], [], [], 0
         for batch in source:
             docs = batch.column(0).to_pylist()
-            for row, tokens in _encoded(batch, 1, tokenizer, how):
+            for row, tokens in _encoded(batch, 1, tokenizer, known, how):
                 ids.append(docs[row])
                 held += [tokens, np.array([end_id], np.uint32)]
                 sizes.append(len(tokens) + 1)
