@@ -152,11 +152,11 @@ def sampled_units(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("slot_questions", f"""
-WITH w AS (SELECT conv_id, CAST(least(8, count(*)) AS INTEGER) AS k FROM conversations GROUP BY conv_id)
+WITH w AS (SELECT conv_id, CAST(count(*) AS INTEGER) AS k FROM conversations GROUP BY conv_id)
 SELECT CAST(conv_id AS VARCHAR) AS id, q || '@s' || s AS question, s AS slot FROM (SELECT conv_id, unnest(generate_series(0, k - 1)) AS s FROM w), (VALUES {", ".join(f"('{q}')" for q in RUBRIC)}) AS v(q)""")
 def slot_questions(spark: SparkSession, folder: str) -> DataFrame:
     """Questions of every group state: slots times questions."""
-    width = table(spark, folder, "conversations").groupBy("conv_id").agg(F.least(F.lit(8), F.count("*")).cast("int").alias("k"))
+    width = table(spark, folder, "conversations").groupBy("conv_id").agg(F.count("*").cast("int").alias("k"))
     slots = width.select("conv_id", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("slot"))
     asked = slots.select("*", F.explode(F.array(*[F.lit(q) for q in RUBRIC])).alias("q"))
     return asked.select(F.col("conv_id").cast("string").alias("id"), F.concat("q", F.lit("@s"), F.col("slot").cast("string")).alias("question"),
