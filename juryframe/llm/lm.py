@@ -1,16 +1,15 @@
 """Language-model scoring by deleted interpolation.
 
-Exact counts of all words: documents are dealt to chunks by hash; each chunk asks once for each of its words, and the
-requests meet in parts by word hash, which answer with the counts over all training documents. No count table is
-broadcast or collected.
-
-The mixture works on symbols: each word with at least VOCABULARY_SHARE of all training tokens is a symbol (so there are
-1 / VOCABULARY_SHARE at most), the rest share one. All pairs of symbols are counted; pairs with at least PAIR_SHARE of
-the tokens (1 / PAIR_SHARE at most) keep a maximum-likelihood estimate of their own. P(symbol | symbol before) is a sum
-of the pair estimate, the single-symbol estimate and the uniform one. Its weights depend on how often the context was
-seen (a bucket for each power of two) and are learned by expectation-maximisation, each pair's count being held out
-from itself (one occurrence is deleted from numerators and denominators). A word without a symbol has the probability
-of the shared symbol times its own share among such words.
+Exact counts of all words and all pairs of words, with nothing cut at any size: documents are dealt to chunks by hash;
+each chunk asks once for each of its words and pairs, and the requests meet in parts by key hash, which answer with the
+counts over all training documents. No count table is broadcast or collected.
+
+Each text is its words and an end, and starts after an end. P(word | word before) is a sum of the pair estimate, the
+single-word estimate and the uniform one. A word is the context of as many pairs as it has occurrences, so its own
+count is also the count of its context. The weights depend on how often the context was seen (a bucket for each power
+of two) and are learned by expectation-maximisation, each pair's count being held out from itself (one occurrence is
+deleted from numerators and denominators). Only these weights and the totals are broadcast. Words and pairs are told
+apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -23,12 +22,11 @@ from juryframe.llm import words as W
 from juryframe.llm.common import batches, cut, prepare
 
 CHUNK_BYTES = 12 << 20
-VOCABULARY_SHARE = 1 / (1 << 16)
-PAIR_SHARE = 1 / (1 << 20)
 EM_ROUNDS = 40
 U64 = np.uint64
-#: Stands for the end of a text; 0 is the shared symbol of rare words, 1 the end, words follow from 2.
-END = 1
+#: Stands for the end of a text among word hashes.
+END = U64(0x9D39247E33776D41)
+_PAIR = U64(0xD6E8FEB86659FD93)
 
 
 def _held(docs: DataFrame, doc_id: str, text: str, folds: int, fold: int) -> DataFrame:
@@ -42,108 +40,116 @@ def _chunked(held: DataFrame) -> DataFrame:
     return held.withColumn("chunk", F.pmod(F.xxhash64("id", "body"), F.lit(max(1, -(-size // CHUNK_BYTES)))).cast("int"))
 
 
+def _texts(table: pa.Table) -> tuple[list, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, held, sizes, words, pairs) of a chunk: each text is its words and an end; a pair ends at its word."""
+    sizes, words, pairs = [], [], []
+    for batch in table.to_batches():
+        for row, to, data, bounds in W.chunks(batch.column("body")):
+            found = W.scan(data, bounds, W.SPACED, W.LOWER)
+            size = np.diff(found.first)
+            word = np.full(len(found.hash) + to - row, END, U64)
+            word[np.arange(len(found.hash)) + np.repeat(np.arange(to - row), size)] = found.hash
+            before = np.concatenate([np.array([END], U64), word[:-1]])
+            sizes.append(size + 1)
+            words.append(word)
+            pairs.append(W.mix(before * _PAIR + word))
+    held = table.column("held").to_numpy()
+    return table.column("id").to_pylist(), held.astype(bool), *(np.concatenate(x) for x in (sizes, words, pairs))
+
+
+def _dealt(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct keys, place of each key among them, their order by part, where each part starts in that order)."""
+    distinct, inverse = np.unique(keys, return_inverse=True)
+    part = (distinct % U64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    return distinct, inverse, order, np.searchsorted(part[order], np.arange(parts + 1))
+
+
+def _narrow(counts: np.ndarray) -> bytes:
+    """Counts in the least whole number of bytes that holds them all."""
+    return counts.astype(np.min_scalar_type(int(counts.max(initial=0)))).tobytes()
+
+
+def _wide(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{len(raw) // n}").astype(np.int64) if n else np.empty(0, np.int64)
+
+
 def _ask(parts: int):
-    schema = pa.schema([("part", pa.int32()), ("chunk", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+    schema = pa.schema([("part", pa.int32()), ("chunk", pa.int32()), *[(n, pa.binary()) for n in ("words", "word_n", "pairs", "pair_n")]])
 
     def run(key, asking):
-        keys, counts = [], []
-        for batch in asking.to_batches():
-            held = batch.column("held").to_numpy(zero_copy_only=False)
-            for row, to, data, bounds in W.chunks(batch.column("body")):
-                found = W.scan(data, bounds, W.SPACED, W.LOWER)
-                used = np.repeat(~held[row:to], np.diff(found.first))
-                distinct, inverse = np.unique(found.hash, return_inverse=True)
-                keys.append(distinct)
-                counts.append(np.bincount(inverse, used, len(distinct)).astype(np.int64))
-        distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        counts = np.bincount(inverse, np.concatenate(counts), len(distinct)).astype("<u4")
-        part = (distinct % U64(parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        edges = np.searchsorted(part[order], np.arange(parts + 1))
-        chunk = key[0].as_py()
-        rows = ((p, chunk, distinct[at].tobytes(), counts[at].tobytes()) for p in range(parts) if len(at := order[edges[p]:edges[p + 1]]))
-        return pa.Table.from_batches(batches(rows, schema, 64), schema)
+        _, held, sizes, *keys = _texts(asking)
+        used = np.repeat(~held, sizes)
+        chunk, kinds = key[0].as_py(), []
+        for values in keys:
+            distinct, inverse, order, edges = _dealt(values, parts)
+            kinds.append((distinct[order], np.bincount(inverse[used], minlength=len(distinct))[order], edges))
+
+        def rows():
+            for p in range(parts):
+                at = [slice(edges[p], edges[p + 1]) for _, _, edges in kinds]
+                if any(s.stop > s.start for s in at):
+                    yield p, chunk, *(x for (k, n, _), s in zip(kinds, at) for x in (k[s].tobytes(), _narrow(n[s])))
+
+        return pa.Table.from_batches(batches(rows(), schema, 64), schema)
 
-    return run, "part int, chunk int, keys binary, counts binary"
+    return run, "part int, chunk int, words binary, word_n binary, pairs binary, pair_n binary"
 
 
 def _answer(key, requests):
-    """For each chunk the total counts of its words; chunk -1 has the words of this part that may be symbols."""
-    schema = pa.schema([("part", pa.int32()), ("chunk", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("tokens", pa.int64()), ("types", pa.int64())])
-    asked = [(c, np.frombuffer(k, U64), np.frombuffer(v, "<u4")) for c, k, v in zip(*(requests.column(n).to_pylist() for n in ("chunk", "keys", "counts")))]
-    distinct, inverse = np.unique(np.concatenate([k for _, k, _ in asked]), return_inverse=True)
-    total = np.bincount(inverse, np.concatenate([v for *_, v in asked]), len(distinct)).astype("<u8")
-    part, tokens, types = key[0].as_py(), int(total.sum()), int((total > 0).sum())
-    top = (total > 0) & (total >= tokens * VOCABULARY_SHARE)
+    """For each chunk the total counts of its words and pairs, in the order asked; chunk -1 has the totals of this part."""
+    schema = pa.schema([("part", pa.int32()), ("chunk", pa.int32()), ("word_n", pa.binary()), ("pair_n", pa.binary()), ("tokens", pa.int64()), ("types", pa.int64())])
+    part, chunks, kinds = key[0].as_py(), requests.column("chunk").to_pylist(), []
+    for name in ("word", "pair"):
+        keys = [np.frombuffer(k, U64) for k in requests.column(name + "s").to_pylist()]
+        counts = [_wide(n, len(k)) for n, k in zip(requests.column(name + "_n").to_pylist(), keys)]
+        distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.zeros(len(distinct), np.int64)
+        np.add.at(total, inverse, np.concatenate(counts))
+        kinds.append((total, inverse, np.cumsum([0, *map(len, keys)])))
 
     def rows():
-        yield part, -1, distinct[top].tobytes(), total[top].tobytes(), tokens, types
-        at = 0
-        for chunk, keys, _ in asked:
-            yield part, chunk, keys.tobytes(), total[inverse[at:at + len(keys)]].tobytes(), 0, 0
-            at += len(keys)
+        words = kinds[0][0]
+        yield part, -1, b"", b"", int(words.sum()), int((words > 0).sum())
+        for i, chunk in enumerate(chunks):
+            yield part, chunk, *(_narrow(total[inverse[at[i]:at[i + 1]]]) for total, inverse, at in kinds), 0, 0
 
     return pa.Table.from_batches(batches(rows(), schema, 16), schema)
 
 
-def _symbols(keys: np.ndarray, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(symbol of each token, symbol before it): each text is its words and an end, and starts after an end."""
-    at = np.minimum(np.searchsorted(keys, hashes), max(len(keys) - 1, 0))
-    word = np.where(keys[at] == hashes, at + 2, 0) if len(keys) else np.zeros(len(hashes), np.int64)
-    out = np.full(len(hashes) + len(first) - 1, END, np.int64)
-    out[np.arange(len(hashes)) + np.repeat(np.arange(len(first) - 1), np.diff(first))] = word
-    return out, np.concatenate([[END], out[:-1]])
-
-
-def _pairs(shared):
-    schema = pa.schema([("a", pa.int32()), ("b", pa.int32()), ("n", pa.int64())])
-
-    def run(source):
-        keys = np.frombuffer(shared.value, U64)
-        held, size = [], 0
-
-        def flush():
-            distinct, inverse = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-            n = np.bincount(inverse, np.concatenate([c for _, c in held])).astype(np.int64)
-            held[:] = [(distinct, n)]
-            return distinct, n
-
-        def out(distinct, n):
-            for k in range(0, len(distinct), 65536):
-                d = distinct[k:k + 65536]
-                yield pa.RecordBatch.from_arrays([pa.array((d >> 32).astype(np.int32)), pa.array((d & 0xFFFFFFFF).astype(np.int32)), pa.array(n[k:k + 65536])], schema=schema)
-
-        for batch in source:
-            for _, _, data, bounds in W.chunks(batch.column(0)):
-                found = W.scan(data, bounds, W.SPACED, W.LOWER)
-                symbol, before = _symbols(keys, found.hash, found.first)
-                held.append(np.unique(before << 32 | symbol, return_counts=True))
-                size += len(held[-1][0])
-            if size > 2_000_000:
-                size = len(flush()[0])
-                if size > 1_000_000:
-                    yield from out(*held[0])
-                    held, size = [], 0
-        if held:
-            yield from out(*flush())
-
-    return run, "a int, b int, n long"
-
-
-def _cells(shared, share: float):
-    """Pairs of symbols by bucket of the context and half octaves of the two held-out estimates."""
+def _counted(left: pa.Table, right: pa.Table, parts: int):
+    """(ids, held, sizes, count of each word, of the word before it, of the pair) of a chunk and its replies."""
+    ids, held, sizes, *keys = _texts(left)
+    replies = sorted(zip(*(right.column(n).to_pylist() for n in ("part", "word_n", "pair_n"))))
+    counts = []
+    for k, values in enumerate(keys, 1):
+        distinct, inverse, order, edges = _dealt(values, parts)
+        total = np.empty(len(distinct), np.int64)
+        total[order] = np.concatenate([_wide(r[k], edges[r[0] + 1] - edges[r[0]]) for r in replies])
+        if k == 1:
+            ends = total[np.searchsorted(distinct, END)]
+        counts.append(total[inverse])
+    word, pair = counts
+    return ids, held, sizes, word, np.concatenate([[ends], word[:-1]]), pair
+
+
+def _bucket(context: np.ndarray) -> np.ndarray:
+    return np.floor(np.log2(np.maximum(context, 1))).astype(np.int32)
+
+
+def _cells(tokens: int, parts: int):
+    """Training pairs by bucket of the context and half octaves of the two held-out estimates."""
     schema = pa.schema([("bucket", pa.int32()), ("q2", pa.int32()), ("q1", pa.int32()), ("n", pa.int64())])
 
-    def run(source):
-        context, single, total = shared.value
-        for batch in source:
-            a, b, n = (batch.column(i).to_numpy() for i in range(3))
-            with np.errstate(divide="ignore", invalid="ignore"):
-                pair = np.where(n >= share, (n - 1) / np.maximum(context[a] - 1, 1), 0)
-                alone = (single[b] - 1) / max(total - 1, 1)
-                q2, q1 = (np.where(p > 0, np.round(2 * np.log2(p)), -999).astype(np.int32) for p in (pair, alone))
-            bucket = np.floor(np.log2(np.maximum(context[a], 1))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(q2), pa.array(q1), pa.array(n)], schema=schema)
+    def run(key, left, right):
+        _, held, sizes, word, before, pair = _counted(left, right, parts)
+        used = np.repeat(~held, sizes)
+        word, before, pair = word[used], before[used], pair[used]
+        with np.errstate(divide="ignore"):
+            q2, q1 = (np.where(p > 0, np.round(2 * np.log2(p)), -999).astype(np.int64) for p in ((pair - 1) / np.maximum(before - 1, 1), (word - 1) / max(tokens - 1, 1)))
+        code, n = np.unique(_bucket(before).astype(np.int64) << 32 | q2 + 1000 << 16 | q1 + 1000, return_counts=True)
+        columns = [(code >> 32).astype(np.int32), ((code >> 16 & 0xFFFF) - 1000).astype(np.int32), ((code & 0xFFFF) - 1000).astype(np.int32), n.astype(np.int64)]
+        return pa.Table.from_arrays([pa.array(c) for c in columns], schema=schema)
 
     return run, "bucket int, q2 int, q1 int, n long"
 
@@ -165,43 +171,19 @@ def mixture(cells: list[tuple[int, int, int, int]], uniform: float, rounds: int
     return weights
 
 
-def _score(shared):
+def _score(shared, parts: int):
     schema = pa.schema([("id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def run(key, left, right):
-        model = shared.value
-        answers = [(np.frombuffer(k, U64), np.frombuffer(v, "<u8")) for k, v in zip(right.column("keys").to_pylist(), right.column("counts").to_pylist())]
-        keys = np.concatenate([k for k, _ in answers]) if answers else np.empty(0, U64)
-        counts = np.concatenate([c for _, c in answers]).astype(np.float64) if answers else np.empty(0)
-        order = np.argsort(keys)
-        keys, counts = keys[order], counts[order]
-        tokens, types, ends = model["tokens"], model["types"], model["ends"]
-        rare, rare_types = model["rare"], model["rare_types"]
-
-        def rows():
-            for batch in left.to_batches():
-                ids, held = batch.column("id").to_pylist(), batch.column("held").to_pylist()
-                for row, to, data, bounds in W.chunks(batch.column("body")):
-                    found = W.scan(data, bounds, W.SPACED, W.LOWER)
-                    symbol, before = _symbols(model["keys"], found.hash, found.first)
-                    c = np.full(len(symbol), float(ends))
-                    word = np.arange(len(found.hash)) + np.repeat(np.arange(to - row), np.diff(found.first))
-                    c[word] = counts[np.searchsorted(keys, found.hash)]
-                    base = np.log10((c + 0.5) / (tokens + 0.5 * (types + 1)))
-                    pair = before << 32 | symbol
-                    at = np.minimum(np.searchsorted(model["pairs"], pair), max(len(model["pairs"]) - 1, 0))
-                    n = np.where(model["pairs"][at] == pair, model["pair_n"][at], 0) if len(model["pairs"]) else np.zeros(len(pair))
-                    context = model["context"][before]
-                    w = model["weights"][np.floor(np.log2(np.maximum(context, 1))).astype(int)]
-                    p = w[:, 0] * n / np.maximum(context, 1) + w[:, 1] * model["single"][symbol] / max(tokens, 1) + w[:, 2] * model["uniform"]
-                    p *= np.where(symbol == 0, (c + 0.5) / (rare + 0.5 * (rare_types + 1)), 1.0)
-                    logs = np.log10(p)
-                    edges = found.first[:-1] + np.arange(to - row)
-                    known = np.add.reduceat(c > 0, edges, dtype=np.int64)
-                    size = np.diff(found.first) + 1
-                    yield from zip(ids[row:to], held[row:to], size.tolist(), known.tolist(), np.add.reduceat(base, edges).tolist(), np.add.reduceat(logs, edges).tolist())
-
-        return pa.Table.from_batches(batches(rows(), schema), schema)
+        tokens, types, weights = shared.value
+        ids, held, sizes, word, before, pair = _counted(left, right, parts)
+        base = np.log10((word + 0.5) / (tokens + 0.5 * (types + 1)))
+        w = weights[_bucket(before)]
+        score = np.log10(w[:, 0] * pair / np.maximum(before, 1) + w[:, 1] * word / max(tokens, 1) + w[:, 2] / (types + 1))
+        edges = np.cumsum(sizes) - sizes
+        known, base, score = np.add.reduceat(word > 0, edges, dtype=np.int64), np.add.reduceat(base, edges), np.add.reduceat(score, edges)
+        columns = [pa.array(x, f.type) for x, f in zip((ids, held, sizes, known, base, score), schema)]
+        return pa.Table.from_arrays(columns, schema=schema)
 
     return run, "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
@@ -215,38 +197,15 @@ def scored(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", folds
     """
     spark = prepare(docs.sparkSession)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = _held(docs, doc_id, text, folds, fold)
-    chunks = _chunked(rows)
+    chunks = _chunked(_held(docs, doc_id, text, folds, fold))
     run, schema = _ask(parts)
     asked = chunks.groupBy("chunk").applyInArrow(run, schema)
-    answers = cut(asked.groupBy("part").applyInArrow(_answer, "part int, chunk int, keys binary, counts binary, tokens long, types long"))
-
-    whole = answers.where("chunk = -1").agg(F.sum("tokens"), F.sum("types")).first()
-    ends = rows.where("NOT held").count()
-    tokens, types = (whole[0] or 0) + ends, (whole[1] or 0) + (ends > 0)
-    top = [(np.frombuffer(r["keys"], U64), np.frombuffer(r["counts"], "<u8")) for r in answers.where("chunk = -1").select("keys", "counts").toLocalIterator()]
-    top = [(k[c >= tokens * VOCABULARY_SHARE], c[c >= tokens * VOCABULARY_SHARE]) for k, c in top]
-    keys = np.concatenate([k for k, _ in top]) if top else np.empty(0, U64)
-    single = np.concatenate([c for _, c in top]).astype(np.float64) if top else np.empty(0)
-    order = np.argsort(keys)
-    keys = keys[order]
-    rare = tokens - ends - single.sum()
-    single = np.concatenate([[rare, ends], single[order]])
-
-    run, schema = _pairs(spark.sparkContext.broadcast(keys.tobytes()))
-    pairs = cut(rows.where("NOT held").select("body").mapInArrow(run, schema).groupBy("a", "b").agg(F.sum("n").alias("n")))
-    context = np.zeros(len(single))
-    for r in pairs.groupBy("a").agg(F.sum("n").alias("n")).toLocalIterator():  # one row per symbol
-        context[r.a] = r.n
-    run, schema = _cells(spark.sparkContext.broadcast((context, single, tokens)), tokens * PAIR_SHARE)
-    cells = pairs.mapInArrow(run, schema).groupBy("bucket", "q2", "q1").agg(F.sum("n").alias("n")).collect()  # 64 x 128 x 128 at most
-    uniform = 1 / max(len(single), 1)
-    kept = [(r.a << 32 | r.b, r.n) for r in pairs.where(F.col("n") >= tokens * PAIR_SHARE).toLocalIterator()]  # 1 / PAIR_SHARE at most
-    kept.sort()
-    model = {
-        "tokens": tokens, "types": types, "ends": ends, "rare": rare, "rare_types": types - (len(single) - 1), "keys": keys, "single": single, "context": context, "uniform": uniform,
-        "weights": mixture(sorted((r.bucket, r.q2, r.q1, r.n) for r in cells), uniform), "pairs": np.array([k for k, _ in kept], np.int64), "pair_n": np.array([n for _, n in kept], np.float64)}
-    run, schema = _score(spark.sparkContext.broadcast(model))
-    replies = answers.where("chunk >= 0").select("chunk", "keys", "counts")
-    out = chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(run, schema)
+    answers = cut(asked.groupBy("part").applyInArrow(_answer, "part int, chunk int, word_n binary, pair_n binary, tokens long, types long"))
+    tokens, types = (x or 0 for x in answers.where("chunk = -1").agg(F.sum("tokens"), F.sum("types")).first())
+
+    replies = answers.where("chunk >= 0").select("chunk", "part", "word_n", "pair_n")
+    met = lambda: chunks.groupBy("chunk").cogroup(replies.groupBy("chunk"))
+    cells = met().applyInArrow(*_cells(tokens, parts)).groupBy("bucket", "q2", "q1").agg(F.sum("n").alias("n")).collect()  # 64 x 128 x 128 at most
+    weights = mixture(sorted((r.bucket, r.q2, r.q1, r.n) for r in cells), 1 / (types + 1))
+    out = met().applyInArrow(*_score(spark.sparkContext.broadcast((tokens, types, weights)), parts))
     return out.select("id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -114,6 +114,36 @@ def test_language_model(spark, request, which):
         assert total > base_total  # the model beats the plain unigram on texts it has not seen
 
 
+def interpolated(docs):
+    """Score of each text by plain dictionaries: every word and every pair keeps its own count."""
+    words, pairs, cells = {}, {}, {}
+    for _, tokens, held in docs:
+        for a, b in zip([None, *tokens], tokens) if not held else ():
+            words[b], pairs[a, b] = words.get(b, 0) + 1, pairs.get((a, b), 0) + 1
+    n, bucket, half = sum(words.values()), lambda c: int(math.log2(max(c, 1))), lambda p: round(2 * math.log2(p)) if p > 0 else -999
+    for (a, b), k in pairs.items():
+        cell = bucket(words[a]), half((k - 1) / max(words[a] - 1, 1)), half((words[b] - 1) / (n - 1))
+        cells[cell] = cells.get(cell, 0) + k
+    weights = L.mixture(sorted((*c, k) for c, k in cells.items()), 1 / (len(words) + 1))
+    each = lambda a, b: (w := weights[bucket(words.get(a, 0))])[0] * pairs.get((a, b), 0) / max(words.get(a, 0), 1) + w[1] * words.get(b, 0) / n + w[2] / (len(words) + 1)
+    return {i: sum(math.log10(each(a, b)) for a, b in zip([None, *tokens], tokens)) for i, tokens, _ in docs}
+
+
+@pytest.mark.parametrize("which", ["folder", "odd", "large"])
+def test_language_model_keeps_rare_words_and_pairs(spark, request, tmp_path, which):
+    """The large table has 1.3 million words: more than 2**20, so that no share of the corpus can stand for a count."""
+    if which == "large":
+        texts = ["a b " * 330_000, "b c a " * 220_000, *["rare pair of words " * 3 + f"single{i} end" for i in range(10)], "rare pair of words single3 end unseen word"]
+        where = str(tmp_path)
+        spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(where + "/documents.parquet")
+    else:
+        where = request.getfixturevalue(which)
+    docs = [(i, [*WORD.findall(fold(t)), None], binascii.crc32(str(i).encode()) % 5 == 1) for i, t in documents(spark, where)]
+    want = interpolated(docs)
+    got = {r.doc_id: r.score for r in queries.op5_lm(spark, where).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], rel_tol=1e-9) for i in want)
+
+
 def plain_spans(text):
     checks = {
         "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda s: True),
