@@ -6,9 +6,11 @@ n-grams, and only the leading part of a row, as long as its size demands, can be
 from the sizes, from the places in the two rows, or from the summed minima of their column-group counts, falls below
 what its sizes require. The survivors get their exact overlap from the full rows.
 
-A group of near copies is not multiplied out: first each row meets only the leader of its block and size class; rows
-linked by then need no further pairs among themselves, so blocks are searched between components only. Large blocks are
-cut into tiles of bounded size, one task for each pair of tiles.
+Components need no more than a spanning set of links (`similar_documents`). For them a group of near copies is not
+multiplied out: first each row meets only the leader of its block and size class; rows linked by then need no further
+pairs among themselves, so blocks are searched between components only. The join itself (`similar_pairs`) has every
+similar pair of different sets and searches the blocks whole. Large blocks are cut into tiles of bounded size, one task
+for each pair of tiles.
 """
 
 from __future__ import annotations
@@ -216,14 +218,8 @@ def _search(like: Similar):
     return lambda source: batches(rows(source), schema)
 
 
-def similar_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", like: Similar = Similar()) -> tuple[DataFrame, DataFrame]:
-    """(rows, links): rows are id, n (set size), component; links are pairs (x, y) of ids of different sets.
-
-    Words are runs of anything but ASCII white space, ASCII letters in lower case. A text without words has an empty
-    set, links with nothing and is its own component. Copies of a set share the component of the copy with the least
-    id; `component` is the least id reachable. Rows that share an id are one node. A null id has a null component.
-    Links hold one spanning set for each component, not every similar pair.
-    """
+def _joined(docs: DataFrame, doc_id: str, text: str, like: Similar, every: bool) -> tuple[DataFrame, DataFrame]:
+    """(rows, links): id, n, rep (least id of equal sets); pairs of reps, all similar ones if `every`, else a spanning set."""
     spark = prepare(docs.sparkSession)
     counts = spark.sparkContext.broadcast(sketch(docs, text, like.n).tobytes())
     run, schema = _rows(like, counts)
@@ -239,16 +235,18 @@ def similar_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
     groups = near.groupBy("h", "k").agg(F.count("*").alias("m"), leader.alias("l")).where("m > 1 AND l IS NOT NULL").select("h", "k", "m", F.col("l.id").alias("l"), F.col("l.n").alias("ln"))
     near = cut(near.join(groups, ["h", "k"]))
 
-    alike = (F.least("n", "ln") * like.den >= F.greatest("n", "ln") * like.num) & (F.col("id") != F.col("l"))
-    star = near.where(alike).select(F.least("id", "l").alias("x"), F.greatest("id", "l").alias("y")).distinct()
     part = reps.select("id", "n", "bins")
-    star = star.join(part.toDF("x", "n", "a"), "x").join(part.toDF("y", "m", "b"), "y").select("x", "y", "n", "m", "a", "b")
-    star = cut(star.mapInArrow(_room(like), "x long, y long").distinct())
-    links = _links(docs, star, doc_id, text, like)
-
-    known = components(links)
-    placed = near.join(known.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("root", "id"))
-    placed = cut(placed.select("h", "k", "m", "upper", "id", "n", "pos", "comp"))
+    links = star = None
+    comp = near.withColumn("comp", F.col("id"))
+    if not every:
+        alike = (F.least("n", "ln") * like.den >= F.greatest("n", "ln") * like.num) & (F.col("id") != F.col("l"))
+        star = near.where(alike).select(F.least("id", "l").alias("x"), F.greatest("id", "l").alias("y")).distinct()
+        star = star.join(part.toDF("x", "n", "a"), "x").join(part.toDF("y", "m", "b"), "y").select("x", "y", "n", "m", "a", "b")
+        star = cut(star.mapInArrow(_room(like), "x long, y long").distinct())
+        links = _links(docs, star, doc_id, text, like)
+        known = components(links)
+        comp = near.join(known.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("root", "id"))
+    placed = cut(comp.select("h", "k", "m", "upper", "id", "n", "pos", "comp"))
     mixed = placed.groupBy("h", "k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("h", "k")
     open_ = placed.join(mixed, ["h", "k"]).withColumn("tiles", F.ceil(F.col("m") / TILE).cast("int"))
     open_ = open_.withColumn("side", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
@@ -256,15 +254,46 @@ def similar_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
     open_ = open_.join(part.select("id", "bins"), "id").select("h", "k", "t1", "t2", "id", "n", "pos", "comp", "side", "upper", "bins")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = open_.repartition(parts, "h", "k", "t1", "t2").sortWithinPartitions("h", "k", "t1", "t2").mapInArrow(_search(like), "x long, y long").distinct()
-    found = cut(found.join(star, ["x", "y"], "left_anti"))
-    links = links.unionByName(_links(docs, found, doc_id, text, like))
+    found = cut(found if every else found.join(star, ["x", "y"], "left_anti"))
+    verified = _links(docs, found, doc_id, text, like)
+    links = verified.distinct() if every else links.unionByName(verified)
+    return rows.join(classes, "digest", "left").select("id", "n", "rep"), links
+
+
+def similar_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", like: Similar = Similar()) -> tuple[DataFrame, DataFrame]:
+    """(rows, links): rows are id, n (set size), component; links are pairs (x, y) of ids of different sets.
 
+    Words are runs of anything but ASCII white space, ASCII letters in lower case. A text without words has an empty
+    set, links with nothing and is its own component. Copies of a set share the component of the copy with the least
+    id; `component` is the least id reachable. Rows that share an id are one node. A null id has a null component.
+    Links hold one spanning set for each component, not every similar pair; `similar_pairs` has them all.
+    """
+    rows, links = _joined(docs, doc_id, text, like, False)
     final = components(links)
-    owned = rows.join(classes, "digest", "left").withColumn("rep", F.coalesce("rep", "id"))
+    owned = rows.withColumn("rep", F.coalesce("rep", "id"))
     owned = owned.join(final, owned["rep"] == final["node"], "left")
     return owned.select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("root", "rep")).alias("component")), links
 
 
+def similar_pairs(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", like: Similar = Similar()) -> tuple[DataFrame, DataFrame]:
+    """(members, links) of the whole join: links are all pairs (x, y), x < y, of keys of different sets that are similar.
+
+    Members are id, n (set size), set (key of the document's set, null if it has no words), n_links: how many other
+    documents are similar to it, those of an equal set among them. Two documents are similar if they are members of one
+    set or of two linked ones. Rows equal in id and text are one document; a row without an id takes no part.
+    """
+    named = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("body")).distinct()
+    named = cut(named.select(F.xxhash64("doc", "body").alias("node"), "doc", "body"))
+    rows, links = _joined(named, "node", "body", like, True)
+    rows = cut(rows)
+    sizes = rows.where("rep IS NOT NULL").groupBy(F.col("rep").alias("set")).agg(F.count("*").alias("held"))
+    ends = links.select(F.col("x").alias("set"), F.col("y").alias("other")).unionByName(links.select(F.col("y").alias("set"), F.col("x").alias("other")))
+    met = ends.join(sizes.toDF("other", "met"), "other").groupBy("set").agg(F.sum("met").alias("met"))
+    counts = sizes.join(met, "set", "left").select("set", (F.col("held") - 1 + F.coalesce("met", F.lit(0))).alias("n_links"))
+    members = rows.join(named.select("node", "doc"), rows["id"] == named["node"]).select(F.col("doc").alias("id"), "n", F.col("rep").alias("set"))
+    return members.join(counts, "set", "left").select("id", "n", "set", F.coalesce("n_links", F.lit(0)).alias("n_links")), links
+
+
 def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", like: Similar = Similar()) -> DataFrame:
     """Documents without all but the first (least id) of each component, all columns kept; null ids all stay.
 

@@ -144,6 +144,35 @@ def test_language_model_keeps_rare_words_and_pairs(spark, request, tmp_path, whi
     assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], rel_tol=1e-9) for i in want)
 
 
+def test_join_has_every_similar_pair(spark):
+    """Groups of near copies, exact copies, a repeated id and a repeated row: all pairs, as in plain sets."""
+    base = [f"w{i}" for i in range(80)]
+    texts = [(i, " ".join(base[:79] + [f"x{i}"])) for i in range(30)] + [(i, " ".join(base[:40 + i // 4])) for i in range(100, 160)]
+    texts += [(200, texts[3][1]), (3, texts[3][1]), (3, texts[50][1]), (201, ""), (202, None), (203, "one"), (204, "ONE"), (None, texts[3][1])]
+    members, links = J.similar_pairs(spark.createDataFrame(texts, "doc_id long, text string"))
+    rows = [(i, w if len(w := fold(t or "").split()) < 3 else [" ".join(w[k:k + 3]) for k in range(len(w) - 2)]) for i, t in dict.fromkeys(texts) if i is not None]
+    sets = [(i, frozenset([" ".join(g)] if 0 < len(g) < 3 else g)) for i, g in rows]
+    like = lambda a, b: bool(a and b) and 10 * len(a & b) >= 9 * len(a | b)
+    want = sorted((i, len(a), sum(like(a, b) for _, b in sets) - bool(a)) for i, a in sets)
+    assert sorted((r.id, r.n, r.n_links) for r in members.collect()) == want
+    distinct = list({a for _, a in sets})
+    pairs = [(r.x, r.y) for r in links.collect()]
+    assert len(pairs) == len(set(pairs)) == sum(like(a, b) for k, a in enumerate(distinct) for b in distinct[:k])
+    keys = {r.set for r in members.collect()}
+    assert all(x < y and x in keys and y in keys for x, y in pairs)
+
+
+def test_given_pairs_equal_plain_sets(spark, folder):
+    docs = spark.read.parquet(folder + "/documents.parquet").select("doc_id", "text")
+    members, links = J.similar_pairs(docs)
+    sets = {}
+    for i, t in documents(spark, folder):
+        w = WORD.findall(fold(t))
+        sets[i] = {" ".join(w[k:k + 3]) for k in range(max(len(w) - 2, min(len(w), 1)))}
+    near = {i: sum(j != i and bool(a and b) and 10 * len(a & b) >= 9 * len(a | b) for j, b in sets.items()) for i, a in sets.items()}
+    assert {r.id: r.n_links for r in members.collect()} == near
+
+
 def plain_spans(text):
     checks = {
         "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda s: True),
