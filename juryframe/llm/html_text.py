@@ -25,8 +25,12 @@ ROUNDS, RATE, DECAY = 300, 0.5, 1e-3
 
 # Element names.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = set("script style noscript template head title svg math iframe object canvas textarea select button option".split())
-INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q ruby rt s samp small span strike strong sub sup time tt u var wbr br".split())
+UNSEEN = set("script style noscript template head title iframe textarea select button option".split())
+INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q ruby rt s samp small span strike strong sub sup time tt u var wbr br math svg object canvas".split())
+#: All elements inside these stand in the line, but for those of CLOSES_P.
+DRAWN = {"math", "svg"}
+#: What may stand in a head; anything else ends it.
+HEAD = set("base basefont bgsound head link meta noframes noscript script style template title".split())
 CLOSES_P = set("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 WALLS = set("ul ol dl table article section div body".split())
@@ -47,12 +51,14 @@ class Page(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.tags, self.parents, self.marks, self.texts = ["body"], [-1], [""], []
         self.stack: list[tuple[str, int]] = [("", 0)]
-        self.unseen = self.links = 0
+        self.unseen = self.links = self.drawn = 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in ("html", "body"):
             self.close_above("head")
             return
+        if tag not in HEAD and self.stack[-1][0] == "head":
+            self.pop()
         if tag in CLOSES_P:
             self.close("p", WALLS - {"div", "section", "article"})
         if tag in SIBLINGS:
@@ -65,12 +71,13 @@ class Page(HTMLParser):
                 self.new(tag, "")
             return
         node = self.stack[-1][1]
-        if tag not in INLINE:
+        if tag not in INLINE and (not self.drawn or tag in CLOSES_P):
             given = dict(attrs)
             node = self.new(tag, " ".join(given.get(k) or "" for k in ("class", "id", "role")) + (" popup" if "hidden" in given or given.get("aria-hidden") == "true" else ""))
         self.stack.append((tag, node))
         self.unseen += tag in UNSEEN
         self.links += tag == "a"
+        self.drawn += tag in DRAWN
 
     def new(self, tag: str, mark: str) -> int:
         self.tags.append(tag)
@@ -83,8 +90,11 @@ class Page(HTMLParser):
         tag, node = self.stack.pop()
         self.unseen -= tag in UNSEEN
         self.links -= tag == "a"
-        if tag not in INLINE:
+        self.drawn -= tag in DRAWN
+        if node != self.stack[-1][1]:
             self.texts.append((self.stack[-1][1], None, False))
+        elif tag == "text":
+            self.texts.append((node, " ", False))
 
     def close_above(self, tag: str) -> None:
         if any(t == tag for t, _ in self.stack):
@@ -105,6 +115,8 @@ class Page(HTMLParser):
             self.close_above(tag)
 
     def handle_data(self, data: str) -> None:
+        if self.stack[-1][0] == "head" and data.strip():
+            self.pop()
         if not self.unseen:
             self.texts.append((self.stack[-1][1], data, self.links > 0))
 

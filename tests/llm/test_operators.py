@@ -208,6 +208,20 @@ def test_pages(spark):
     assert text[1] == "Heading & more\nFirst paragraph with enough words to count as prose, and an é.\nSecond paragraph, also long enough to be read as prose by anyone."
 
 
+@pytest.mark.parametrize("page", [PAGE.replace("</head><body>", ""), PAGE.replace("</head><body>", "<link href=x>").replace("</body></html>", ""), PAGE.replace("</head>", "<template><p>no</p></template></head>")])
+def test_head_without_its_end(page):
+    model = H.train([PAGE])
+    assert H.main_text(page, model) == H.main_text(PAGE, model) != ""
+    assert [t for _, t in H.read("<head><title>T</title>bare text")[1]] == ["bare text"]
+
+
+def test_text_in_formulas_and_drawings():
+    model = H.train([PAGE])
+    drawn = "<math><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow></math>, <svg><style>a{}</style><g><path d=1 /><text>one</text><text>two</text></g></svg> <object data=f>fallback</object> <canvas>picture</canvas>"
+    page = PAGE.replace("First ", f"First {drawn} ")
+    assert H.main_text(page, model) == H.main_text(PAGE, model).replace("First paragraph", "First x=2, one two fallback picture paragraph")
+
+
 def test_quality_counts_of_awkward_rows(spark, odd):
     for r in queries.op10_quality(spark, odd).collect():
         words = WORD.findall(dict(documents(spark, odd))[r.doc_id])
