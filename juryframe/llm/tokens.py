@@ -31,9 +31,9 @@ CACHE_WORDS = 1_000_000
 class WaveletMatrix:
     """Sequence of small integers held as bit planes."""
 
-    def __init__(self, n: int, planes: list[np.ndarray], zeros: list[int]):
+    def __init__(self, n: int, planes: list[np.ndarray], zeros: list[int], before: list[np.ndarray] | None = None):
         self.n, self.planes, self.zeros = n, planes, zeros
-        self.before = [np.concatenate([[0], np.cumsum(np.add.reduceat(np.bitwise_count(p).astype(np.int64), np.arange(0, len(p), BLOCK // 8)))]) if len(p) else np.zeros(1, np.int64) for p in planes]
+        self.before = before if before is not None else [np.concatenate([[0], np.cumsum(np.add.reduceat(np.bitwise_count(p).astype(np.int64), np.arange(0, len(p), BLOCK // 8)))]) if len(p) else np.zeros(1, np.int64) for p in planes]
 
     @classmethod
     def build(cls, values: np.ndarray, levels: int) -> WaveletMatrix:
@@ -91,7 +91,8 @@ class WaveletMatrix:
         return i
 
     def _select(self, level: int, one: int, k: int) -> int:
-        before = self.before[level] if one else np.minimum(np.arange(len(self.before[level])) * BLOCK, self.n) - self.before[level]
+        ones = self.before[level].astype(np.int64)
+        before = ones if one else np.minimum(np.arange(len(ones)) * BLOCK, self.n) - ones
         block = int(np.searchsorted(before, k, "right")) - 1
         bits = np.unpackbits(self.planes[level][block * BLOCK // 8:(block + 1) * BLOCK // 8])[:self.n - block * BLOCK]
         return block * BLOCK + int(np.flatnonzero(bits == one)[k - int(before[block])])
@@ -112,11 +113,15 @@ class WaveletMatrix:
 
 
 def pack(ids: list[int | None], sizes: list[int], values: np.ndarray, levels: int) -> bytes:
-    """One file: magic, counts, document ids (a flag for null), document sizes, zeros of the planes, the planes."""
+    """One file: magic, counts, document ids (a flag for null), document sizes, zeros of the planes, the planes, the
+    ones before each block of each plane. Ids of more than `levels` bits are refused."""
+    if len(values) and int(values.max()) >> levels:
+        raise ValueError(f"id {int(values.max())} does not fit {levels} bit planes")
     matrix = WaveletMatrix.build(values, levels)
     head = struct.pack("<IQI", len(ids), len(values), levels)
     return b"".join([MAGIC, head, np.array([i is not None for i in ids], np.uint8).tobytes(), np.array([i or 0 for i in ids], "<i8").tobytes(),
-                     np.array(sizes, "<i8").tobytes(), np.array(matrix.zeros, "<i8").tobytes(), *[p.tobytes() for p in matrix.planes]])
+                     np.array(sizes, "<i8").tobytes(), np.array(matrix.zeros, "<i8").tobytes(), *[p.tobytes() for p in matrix.planes],
+                     *[b.astype("<u4").tobytes() for b in matrix.before]])
 
 
 def unpack(body: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix]:
@@ -131,7 +136,9 @@ def unpack(body: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix]:
     zeros = np.frombuffer(body, "<i8", levels, at + 17 * docs).tolist()
     at, width = at + 17 * docs + 8 * levels, (n + 7) // 8
     planes = [np.frombuffer(body, np.uint8, width, at + k * width) for k in range(levels)]
-    return [i if ok else None for i, ok in zip(ids.tolist(), given.tolist())], sizes, WaveletMatrix(n, planes, zeros)
+    at, blocks = at + levels * width, -(-n // BLOCK) + 1
+    before = [np.frombuffer(body, "<u4", blocks, at + 4 * k * blocks) for k in range(levels)]
+    return [i if ok else None for i, ok in zip(ids.tolist(), given.tolist())], sizes, WaveletMatrix(n, planes, zeros, before)
 
 
 class Known:
@@ -187,20 +194,23 @@ SIGN = np.zeros(256, bool)
 SIGN[[ord(c) for c in SIGNS]] = True
 
 
-def pieces_of(tokenizer) -> tuple[bool, bool, bool]:
-    """What the tokenizer does to texts: (drops white space between words, parts signs from letters, folds ASCII case).
+def pieces_of(tokenizer) -> tuple[bool, bool, bool, tuple[bytes, ...]]:
+    """What the tokenizer does to texts: (drops white space between words, parts signs from letters, folds ASCII case,
+    its added tokens).
 
-    Where it does, equal pieces have equal ids wherever they stand, and each is encoded once.
+    Where it does, equal pieces have equal ids wherever they stand, and each is encoded once. A text that may hold an
+    added token, which pieces would tear apart, is encoded whole.
     """
     ids = lambda s: tokenizer.encode(s, add_special_tokens=False).ids
     drops = all(ids(f"ab{c}cd{c}") == ids("ab") + ids("cd") for c in " \t\n\v\f\r")
     parts = drops and all(ids(f"ab{c}{c}cd9{c}7") == ids("ab") + ids(c + c) + ids("cd9") + ids(c) + ids("7") for c in SIGNS)
-    return drops, parts, drops and all(ids(chr(65 + i) + "a") == ids(chr(97 + i) + "a") for i in range(26))
+    added = tuple(token.content.encode().lower() for token in tokenizer.get_added_tokens_decoder().values())
+    return drops, parts, drops and all(ids(chr(65 + i) + "a") == ids(chr(97 + i) + "a") for i in range(26)), added
 
 
-def _encoded(batch: pa.RecordBatch, column: int, tokenizer, known: Known, how: tuple[bool, bool, bool]) -> Iterator[tuple[int, np.ndarray]]:
+def _encoded(batch: pa.RecordBatch, column: int, tokenizer, known: Known, how: tuple) -> Iterator[tuple[int, np.ndarray]]:
     """(row, ids) of each text."""
-    drops, parts, folds = how
+    drops, parts, folds, added = how
     if not drops:
         for row, text in enumerate(batch.column(column).to_pylist()):
             yield row, np.array(tokenizer.encode(text.decode(), add_special_tokens=False).ids, np.uint32)
@@ -221,11 +231,17 @@ def _encoded(batch: pa.RecordBatch, column: int, tokenizer, known: Known, how: t
         total = int(ends[-1]) if len(ends) else 0
         ids = known.flat[np.repeat(first[inverse] - (ends - per), per) + np.arange(total)]
         edges = np.concatenate([[0], ends])[found.first]
+        raw = data.tobytes().lower()
+        some = any(token in raw for token in added)
         for i in range(to - row):
-            yield row + i, ids[edges[i]:edges[i + 1]]
+            lo, hi = int(bounds[i]), int(bounds[i + 1])
+            if some and any(raw.find(token, lo, hi) >= 0 for token in added):
+                yield row + i, np.array(tokenizer.encode(data[lo:hi].tobytes().decode(), add_special_tokens=False).ids, np.uint32)
+            else:
+                yield row + i, ids[edges[i]:edges[i + 1]]
 
 
-def _write(shared, how: tuple[bool, bool, bool], end_id: int, levels: int, file_tokens: int):
+def _write(shared, how: tuple, end_id: int, levels: int, file_tokens: int):
     schema = pa.schema([("shard", pa.int32()), ("file", pa.int32()), ("n_tokens", pa.int64()), ("body", pa.binary())])
 
     def files(source):
@@ -249,19 +265,22 @@ def _write(shared, how: tuple[bool, bool, bool], end_id: int, levels: int, file_
     return lambda source: batches(files(source), schema, 1), "shard int, file int, n_tokens long, body binary"
 
 
-def write(docs: DataFrame, vocabulary: str, path: str, *, doc_id: str = "doc_id", text: str = "text", end_id: int = 2, levels: int = 16,
+def write(docs: DataFrame, vocabulary: str, path: str, *, doc_id: str = "doc_id", text: str = "text", end_id: int = 2, levels: int | None = None,
           file_tokens: int = FILE_TOKENS) -> DataFrame:
     """Token files of all documents in ascending id order, written to `path` and read back as shard, file, n_tokens, body.
 
     `vocabulary` is a tokenizer file of the tokenizers library, read on the driver. Null and empty texts give the end
-    id alone. Null ids come first; rows that share an id stay neighbours, ordered by a hash of their text.
+    id alone. Null ids come first; rows that share an id stay neighbours, ordered by a hash of their text. `levels` (bits
+    of an id) follows from the largest id of the vocabulary; too few given are refused when an id does not fit.
     """
     from tokenizers import Tokenizer
 
     spark = prepare(docs.sparkSession)
     with open(vocabulary, encoding="utf-8") as file:
         rules = file.read()
-    shared, how = spark.sparkContext.broadcast(rules), pieces_of(Tokenizer.from_str(rules))
+    tokenizer = Tokenizer.from_str(rules)
+    shared, how = spark.sparkContext.broadcast(rules), pieces_of(tokenizer)
+    levels = levels or max(1, end_id.bit_length(), max(tokenizer.get_vocab(with_added_tokens=True).values(), default=0).bit_length())
     run, schema = _write(shared, how, end_id, levels, file_tokens)
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body"), row_key(F.col(text)).alias("key"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
