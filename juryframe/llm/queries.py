@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from juryframe.llm import decontaminate as D, html_text as H, lm as L, mixing as M, pii as P, quality as Q, secrets as S, shingle_join as J, substrings as R, tokens as T
+from juryframe.llm import (decontaminate as D, fim as I, html_text as H, lm as L, mixing as M, packing as B, pii as P, quality as Q, secrets as S, shingle_join as J,
+                           substrings as R, tokens as T, whitening as E)
 from juryframe.llm.common import cut, fresh_path
 from juryframe.session import configure
 from juryframe.sources.tables import table
@@ -208,3 +209,37 @@ def op8_pii(spark: SparkSession, folder: str) -> DataFrame:
 def op9_html(spark: SparkSession, folder: str) -> DataFrame:
     """Main text of each page."""
     return H.extract(table(spark, folder, "pages"))
+
+
+@query("op11_whitening")
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """Whitened coordinates of each usable vector, its exact deviation, and the explained share of each component."""
+    out = E.whiten(table(spark, folder, "embeddings"))
+    deviation = F.col("deviation").try_cast("long").alias("deviation")  # null beyond 2**63, as n * n grows
+    return out.select(F.col("id").alias("vec_id"), "component", "n", deviation, "whitened", "explained", "identity_error")
+
+
+@query("op12_packing")
+def op12_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Where each piece of each document stands in the packed sequences."""
+    out = B.pack(table(spark, folder, "documents"), word_vocabulary())
+    return out.select(F.col("id").alias("doc_id"), "piece", "start", "length", F.col("crc").alias("ids_crc32"), F.col("sequence").alias("sequence_id"), "offset")
+
+
+_GROUP = "('0x' || substr(h, {}, 8))::UBIGINT::BIGINT"
+
+
+@query("op13_fim", rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, ''))::BIGINT AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+k AS (SELECT *, least({_GROUP.format(1)} % (n + 1), {_GROUP.format(9)} % (n + 1)) AS a, greatest({_GROUP.format(1)} % (n + 1), {_GROUP.format(9)} % (n + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR {_GROUP.format(17)} % 100 >= 90 THEN 'plain'
+    WHEN {_GROUP.format(25)} % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+o AS (SELECT *, substring(t, 1, a) AS p, substring(t, a + 1, b - a) AS m, substring(t, b + 1, n - b) AS s FROM k)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256 FROM o""")
+def op13_fim(spark: SparkSession, folder: str) -> DataFrame:
+    """Fill-in-middle form, cuts and output of each document, with a digest of the text rebuilt from the output."""
+    out = I.transform(table(spark, folder, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "n", "form", F.col("prefix").alias("prefix_chars"), F.col("middle").alias("middle_chars"),
+                      F.sha2("output", 256).alias("output_sha256"), F.sha2(I.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
