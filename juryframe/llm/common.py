@@ -44,6 +44,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def wrapped(docs: DataFrame, **named: Column) -> DataFrame:
+    """`docs` as one column `row`, beside the given columns: no name of the caller's can clash with one of ours."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(name) for name, c in named.items()])
+
+
 def row_key(text: Column) -> Column:
     """Tells rows of equal id and different text apart; rows equal in both get equal results."""
     return F.xxhash64(text)

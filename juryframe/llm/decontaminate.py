@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from juryframe.llm import words as W
-from juryframe.llm.common import batches, prepare, row_key
+from juryframe.llm.common import batches, prepare, row_key, wrapped
 
 BITS = 1 << 23
 WINDOW, GRAM = 13, 7
@@ -173,7 +173,10 @@ def report(spans: DataFrame, share: tuple[int, int] = (1, 20)) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **kw) -> DataFrame:
-    """Documents without the contaminated ones, all columns kept. Null ids and repeated rows are judged like others."""
-    bad = report(contaminated_spans(docs, items, doc_id=doc_id, text=text, **kw)).where("contaminated")
-    bad = bad.select(F.col("id").alias("_id"), F.col("key").alias("_key"))
-    return docs.join(bad, F.col(doc_id).cast("string").eqNullSafe(F.col("_id")) & (row_key(F.col(text)) == F.col("_key")), "left_anti")
+    """Documents without the contaminated ones, all columns kept, whatever their names. Null ids and repeated rows are judged like others.
+
+    Null and empty texts are clean; empty tables of documents or items are allowed.
+    """
+    bad = report(contaminated_spans(docs, items, doc_id=doc_id, text=text, **kw)).where("contaminated").select(F.col("id").alias("bad_id"), F.col("key").alias("bad_key"))
+    rows = wrapped(docs, id=F.col(doc_id).cast("string"), key=row_key(F.col(text)))
+    return rows.join(bad, F.col("id").eqNullSafe(F.col("bad_id")) & (F.col("key") == F.col("bad_key")), "left_anti").select("row.*")

@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from juryframe.llm.common import SPACE, cut, row_key
+from juryframe.llm.common import SPACE, cut, row_key, wrapped
 
 WEIGHTS = (5, 2, 1)
 BLOCK_WORDS = 1024
@@ -124,17 +124,22 @@ def taken(streamed: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS,
-                    share: float = 1.5, repeats: int = 2, seed: str = "mix") -> DataFrame:
-    """Whole documents of the mix, repeated as often as their first word is within the target; all columns kept.
+                    share: float = 1.5, repeats: int = 2, block_words: int = BLOCK_WORDS, seed: str = "mix") -> DataFrame:
+    """Whole documents of the mix, all columns kept, whatever their names: one copy for each scheduled block that a document begins in.
 
-    Documents of no words stay once.
+    A document whose first word the mix takes is taken whole, so a source may exceed its target by the end of one
+    document. Null and empty texts have no words, begin in no block and stay once. Null sources are one source; rows
+    that share id and text are told apart by their source alone. An empty table gives none.
     """
-    sized = cut(sizes(docs, doc_id=doc_id, text=text, source=source, seed=seed))
-    streamed = streams(sized, cut(targets(sized, weights=weights, share=share, repeats=repeats)))
-    copies = sum(((F.col("start") + F.col("source_size") * k < F.col("words")).cast("int") for k in range(repeats)), F.lit(0))
-    copies = streamed.withColumn("copies", F.when(F.col("size") == 0, 1).otherwise(copies))
-    rows = copies.groupBy(F.col("id").alias("_id"), F.col("key").alias("_key")).agg(F.array_sort(F.collect_list("copies")).alias("_copies"))
-    same = Window.partitionBy("_i", "_key").orderBy(source)
-    named = docs.withColumns({"_i": F.col(doc_id), "_key": row_key(F.col(text))}).withColumn("_n", F.row_number().over(same))
-    joined = named.join(rows.withColumnRenamed("_key", "_k"), F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_k")))
-    return joined.where(F.get("_copies", F.col("_n") - 1) > 0).withColumn("_c", F.explode(F.sequence(F.lit(1), F.get("_copies", F.col("_n") - 1)))).select([F.col(f"`{c}`") for c in docs.columns])
+    streamed, parts = mix(docs, doc_id=doc_id, text=text, source=source, weights=weights, share=share, repeats=repeats, block_words=block_words, seed=seed)
+    key = ["id", "key", "s", "start", "size"]
+    begun = parts.where("from_word = 0").select(*key, F.lit(1).alias("begins"), F.lit(0).alias("stands"))
+    every = streamed.select(*key, (F.col("size") == 0).cast("int").alias("begins"), F.lit(1).alias("stands"))
+    # empty documents may share all of the key: what stands more than once is shared out below
+    per = every.unionByName(begun).groupBy(*key).agg(F.sum("begins").alias("begins"), F.sum("stands").alias("stands"))
+    per = per.withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("stands")))).select("id", "key", (F.col("begins") / F.col("stands")).cast("int").alias("copies"))
+    held = per.groupBy(F.col("id").alias("held_id"), F.col("key").alias("held_key")).agg(F.array_sort(F.collect_list("copies")).alias("copies"))
+    rows = wrapped(docs, id=F.col(doc_id), key=row_key(F.col(text)), source=F.col(source))
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("id", "key").orderBy("source")))
+    joined = rows.join(held, F.col("id").eqNullSafe(F.col("held_id")) & (F.col("key") == F.col("held_key"))).withColumn("times", F.get("copies", F.col("place") - 1))
+    return joined.where("times > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from juryframe.llm.common import let, word_array
+from juryframe.llm.common import let, word_array, wrapped
 
 # Common words of each language, commonest first.
 COMMON = {
@@ -159,6 +159,12 @@ def verdict(measured: DataFrame, reference: dict[str, dict[str, list[int]]], bou
 
 
 def keep(docs: DataFrame, *, text: str = "text", lang: str = "lang", bounds: Bounds = Bounds()) -> DataFrame:
-    """Documents that pass the rules, all columns kept. References come from a pass over all documents."""
-    known = references(measures(docs, text=text, lang=lang, repeats=False))
-    return verdict(measures(docs, text=text, lang=lang), known, bounds).where("kept").select([F.col(f"`{c}`") for c in docs.columns])
+    """Documents that pass the rules, all columns kept, whatever their names. References come from a pass over all documents.
+
+    Null and empty texts have no words and fail the base rule; repeated rows are judged alike; an empty table stays empty.
+    """
+    rows = wrapped(docs, text=F.col(text), lang=F.col(lang))
+    known = references(measures(rows, repeats=False))
+    # a filter isn't pushed below a generated column, so each row is measured once
+    measured = measures(rows).select("row", F.explode(F.array("_q")).alias("_q"))
+    return verdict(measured, known, bounds).where("kept").select("row.*")

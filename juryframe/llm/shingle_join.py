@@ -1,4 +1,4 @@
-"""N-gram Jaccard join: a blocked sparse product of the document by n-gram incidence.
+"""N-gram Jaccard join over blocks of the document by n-gram incidence.
 
 Equal sets are one row of the matrix. Its columns are ordered from rare to common by a fixed-size count sketch of all
 n-grams, and only the leading part of a row, as long as its size demands, can be the first place where a pair meets
@@ -7,10 +7,11 @@ from the sizes, from the places in the two rows, or from the summed minima of th
 what its sizes require. The survivors get their exact overlap from the full rows.
 
 Components need no more than a spanning set of links (`similar_documents`). For them a group of near copies is not
-multiplied out: first each row meets only the leader of its block and size class; rows linked by then need no further
-pairs among themselves, so blocks are searched between components only. The join itself (`similar_pairs`) has every
-similar pair of different sets and searches the blocks whole. Large blocks are cut into tiles of bounded size, one task
-for each pair of tiles.
+multiplied out: first each row meets only the leader of its block and size class. Then follow rounds in which each tile
+of a block that holds several components names only pairs that span them, a forest; their links merge components
+before the next round. When a round finds nothing new, what is still open between components is searched whole. The
+join itself (`similar_pairs`) has every similar pair of different sets and searches the blocks at once. Large blocks
+are cut into tiles of bounded size: rows of the largest component of a block meet the others only.
 """
 
 from __future__ import annotations
@@ -23,13 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from juryframe.llm import words as W
-from juryframe.llm.common import batches, cut, prepare
+from juryframe.llm.common import batches, cut, prepare, wrapped
 from juryframe.llm.components import components
 from juryframe.llm.decontaminate import _in, bit_table
 
 SKETCH = 1 << 18
 BINS = 256
 TILE = 512
+#: Rounds of forests before the rest is searched whole.
+ROUNDS = 6
 U64 = np.uint64
 
 
@@ -161,12 +164,17 @@ def _links(docs: DataFrame, pairs: DataFrame, doc_id: str, text: str, like: Simi
     return cut(joined.select("x", "y", "a", "b").mapInArrow(_verify(like), "x long, y long"))
 
 
-def _search(like: Similar):
-    """Pairs of different components within each block (or tile pair) that all bounds leave open."""
+def _search(like: Similar, turn: int | None = None):
+    """Pairs of different components within each block (or tile pair) that all bounds leave open.
+
+    With a `turn`, only pairs that join what no earlier pair of the tile has joined, in an order that differs by turn;
+    a tile that leaves pairs out says so by one pair of nulls.
+    """
     schema = pa.schema([("x", pa.int64()), ("y", pa.int64())])
 
     def one(ids, n, pos, comp, side, upper, split, bins):
-        order = np.lexsort((ids, n))
+        order = np.lexsort((ids if turn is None else W.mix(ids.view(U64) + U64(turn)), n))
+        left_out, given = False, comp[order]
         ids, n, pos, comp, side, upper, bins = ids[order], n[order], pos[order], comp[order], side[order], upper[order], bins[order]
         for a in range(len(ids) - 1):
             m = n[a + 1:]
@@ -179,11 +187,20 @@ def _search(like: Similar):
             if n[a] - pos[a] < -(-2 * n[a] * like.num // (like.num + like.den)):
                 continue
             at = np.flatnonzero(may)
+            left_out |= bool(((comp[a + 1:] == comp[a]) & (given[a + 1:] != given[a])).any())
             if len(at):
                 room = np.minimum(bins[a], bins[a + 1 + at]).sum(1, dtype=np.int64)
                 for k in at[(room >= need[at]) | (n[a] > 65535)].tolist():
-                    p, q = int(ids[a]), int(ids[a + 1 + k])
+                    b = a + 1 + k
+                    if turn is not None:
+                        if comp[a] == comp[b]:
+                            left_out = True
+                            continue
+                        comp[comp == comp[b]] = comp[a]
+                    p, q = int(ids[a]), int(ids[b])
                     yield (p, q) if p < q else (q, p)
+        if left_out:
+            yield None, None
 
     def rows(source):
         held: list = []
@@ -205,6 +222,7 @@ def _search(like: Similar):
             if held:
                 yield [np.concatenate(c) for c in zip(*held)] if len(held) > 1 else held[0]
 
+        # a row is in many blocks: a pair is named once by a task
         seen: set = set()
         for _, _, lo, hi, ids, n, pos, comp, side, upper, bins in groups():
             if len(ids) > 1:
@@ -218,6 +236,42 @@ def _search(like: Similar):
     return lambda source: batches(rows(source), schema)
 
 
+def _mixed(comp: DataFrame) -> DataFrame:
+    """The rows of blocks (h, k) that hold several components, with the largest component (`main`) and counts of its rows and of others."""
+    placed = cut(comp.select("h", "k", "upper", "id", "n", "pos", "comp"))
+    counts = placed.groupBy("h", "k", "comp").agg(F.count("*").alias("c"))
+    blocks = counts.groupBy("h", "k").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.max("c").alias("mains"), F.sum("c").alias("m"))
+    return placed.join(blocks.where("mains < m"), ["h", "k"]).withColumn("upper", F.col("upper").cast("int"))
+
+
+def _single_tiles(mixed: DataFrame, turn: int) -> DataFrame:
+    """Each row of a mixed block in one tile, another one each turn."""
+    tile = F.pmod(F.xxhash64("id", F.lit(turn)), F.ceil(F.col("m") / TILE)).cast("int")
+    return mixed.withColumns({"t1": tile, "t2": tile, "side": tile})
+
+
+def _tiles(mixed: DataFrame) -> DataFrame:
+    """Each pair of rows of different components of a mixed block in one tile.
+
+    Rows outside the largest component are dealt to tiles 0, 1, ..., those of the largest to the tiles after these. Two
+    tiles meet unless both are of the largest component, so a row is copied as often as there are tiles of the others
+    (and a row of the others once more for each tile of the largest).
+    """
+    rows = mixed.withColumn("others", F.ceil((F.col("m") - F.col("mains")) / TILE).cast("int")).withColumn("all", F.col("others") + F.ceil(F.col("mains") / TILE).cast("int"))
+    inside = F.col("comp") == F.col("main")
+    spread = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    rows = rows.withColumn("side", F.when(inside, F.col("others") + spread(F.col("all") - F.col("others"))).otherwise(spread(F.col("others"))))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(inside, F.col("others")).otherwise(F.col("all")) - 1)))
+    return rows.withColumns({"t1": F.least("side", "other"), "t2": F.greatest("side", "other")})
+
+
+def _pairs(tiles: DataFrame, part: DataFrame, like: Similar, turn: int | None = None) -> DataFrame:
+    """Pairs (x, y) that the tiles leave open; one task reads a tile whole."""
+    rows = tiles.join(part.select("id", "bins"), "id").select("h", "k", "t1", "t2", "id", "n", "pos", "comp", "side", "upper", "bins")
+    parts = int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "h", "k", "t1", "t2").sortWithinPartitions("h", "k", "t1", "t2").mapInArrow(_search(like, turn), "x long, y long")
+
+
 def _joined(docs: DataFrame, doc_id: str, text: str, like: Similar, every: bool) -> tuple[DataFrame, DataFrame]:
     """(rows, links): id, n, rep (least id of equal sets); pairs of reps, all similar ones if `every`, else a spanning set."""
     spark = prepare(docs.sparkSession)
@@ -236,27 +290,30 @@ def _joined(docs: DataFrame, doc_id: str, text: str, like: Similar, every: bool)
     near = cut(near.join(groups, ["h", "k"]))
 
     part = reps.select("id", "n", "bins")
-    links = star = None
-    comp = near.withColumn("comp", F.col("id"))
-    if not every:
+    if every:
+        found = cut(_pairs(_tiles(_mixed(near.withColumn("comp", F.col("id")))), part, like).distinct())
+        links = _links(docs, found, doc_id, text, like)
+    else:
         alike = (F.least("n", "ln") * like.den >= F.greatest("n", "ln") * like.num) & (F.col("id") != F.col("l"))
         star = near.where(alike).select(F.least("id", "l").alias("x"), F.greatest("id", "l").alias("y")).distinct()
         star = star.join(part.toDF("x", "n", "a"), "x").join(part.toDF("y", "m", "b"), "y").select("x", "y", "n", "m", "a", "b")
-        star = cut(star.mapInArrow(_room(like), "x long, y long").distinct())
-        links = _links(docs, star, doc_id, text, like)
-        known = components(links)
-        comp = near.join(known.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("root", "id"))
-    placed = cut(comp.select("h", "k", "m", "upper", "id", "n", "pos", "comp"))
-    mixed = placed.groupBy("h", "k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("h", "k")
-    open_ = placed.join(mixed, ["h", "k"]).withColumn("tiles", F.ceil(F.col("m") / TILE).cast("int"))
-    open_ = open_.withColumn("side", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    open_ = open_.withColumn("t1", F.least("side", "other")).withColumn("t2", F.greatest("side", "other")).withColumn("upper", F.col("upper").cast("int"))
-    open_ = open_.join(part.select("id", "bins"), "id").select("h", "k", "t1", "t2", "id", "n", "pos", "comp", "side", "upper", "bins")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = open_.repartition(parts, "h", "k", "t1", "t2").sortWithinPartitions("h", "k", "t1", "t2").mapInArrow(_search(like), "x long, y long").distinct()
-    found = cut(found if every else found.join(star, ["x", "y"], "left_anti"))
-    verified = _links(docs, found, doc_id, text, like)
-    links = verified.distinct() if every else links.unionByName(verified)
+        tried = cut(star.mapInArrow(_room(like), "x long, y long").distinct())
+        links = _links(docs, tried, doc_id, text, like)
+        turn = 0
+        while turn is not None:
+            last = turn == ROUNDS
+            known = components(links)
+            # components only merge, so the blocks that hold several are among those of the round before
+            near = cut(_mixed(near.join(known.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("root", "id"))))
+            wide = not near.where(F.col("m") > TILE).isEmpty()
+            found = cut(_pairs(_tiles(near) if last else _single_tiles(near, turn), part, like, None if last else turn).distinct())
+            fresh = cut(found.where("x IS NOT NULL").join(tried, ["x", "y"], "left_anti"))
+            verified = _links(docs, fresh, doc_id, text, like)
+            links, tried = links.unionByName(verified), tried.unionByName(fresh)
+            if last or not wide and found.where("x IS NULL").isEmpty():
+                turn = None  # every open pair was named
+            else:
+                turn = ROUNDS if verified.isEmpty() else turn + 1
     return rows.join(classes, "digest", "left").select("id", "n", "rep"), links
 
 
@@ -300,5 +357,5 @@ def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     Of rows that share the kept id all stay.
     """
     rows, _ = similar_documents(docs, doc_id=doc_id, text=text, like=like)
-    gone = rows.where("component < id").select(F.col("id").alias("_id")).distinct()
-    return docs.join(gone, docs[doc_id] == gone["_id"], "left_anti")
+    gone = rows.where("component < id").select(F.col("id").alias("gone")).distinct()
+    return wrapped(docs, id=F.col(doc_id).cast("long")).join(gone, F.col("id") == F.col("gone"), "left_anti").select("row.*")
