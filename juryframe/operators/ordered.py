@@ -27,7 +27,10 @@ def with_running(
     maxes: dict[str, Column] | None = None,
     inclusive: bool = True,
 ) -> DataFrame:
-    """Add running sums and maxima per key. With `inclusive=False` the current row is left out."""
+    """Add running sums and maxima per key. With `inclusive=False` the current row is left out.
+
+    Null keys are one key, and rows without a place come first in it; none is lost.
+    """
     sums, maxes = sums or {}, maxes or {}
     tagged = df.withColumn("_run", bucket)
     for name, col in {**sums, **maxes}.items():
@@ -38,19 +41,22 @@ def with_running(
     )
     before = Window.partitionBy(*keys).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
     carried = totals.select(
-        *keys, "_run",
+        *[F.col(k).alias(f"_k_{i}") for i, k in enumerate(keys)], F.col("_run").alias("_k_run"),
         *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_c_{n}") for n in sums],
         *[F.max(f"_t_{n}").over(before).alias(f"_c_{n}") for n in maxes],
     )
     inside = Window.partitionBy(*keys, "_run").orderBy(*order).rowsBetween(
         Window.unboundedPreceding, 0 if inclusive else -1)
-    joined = tagged.join(carried, [*keys, "_run"])
+    same = F.col("_run").eqNullSafe(F.col("_k_run"))
+    for i, k in enumerate(keys):
+        same = same & tagged[k].eqNullSafe(carried[f"_k_{i}"])
+    joined = tagged.join(carried, same)
     out = joined
     for name in sums:
         out = out.withColumn(name, F.coalesce(F.sum(f"_in_{name}").over(inside), F.lit(0)) + F.col(f"_c_{name}"))
     for name in maxes:
         out = out.withColumn(name, F.greatest(F.max(f"_in_{name}").over(inside), F.col(f"_c_{name}")))
-    spare = [c for c in out.columns if c == "_run" or c.startswith(("_in_", "_c_"))]
+    spare = [c for c in out.columns if c == "_run" or c.startswith(("_in_", "_c_", "_k_"))]
     return out.drop(*spare)
 
 

@@ -1 +1 @@
-"""streaming of juryframe."""
+"""Structured Streaming forms of the journal and the tables they keep."""
