@@ -143,21 +143,21 @@ def case_means(runs: DataFrame, metrics: list[str], *, case: str = "case", by: l
     return per.select(*by, "case", F.explode(pairs).alias("p")).select(*by, "p.metric", "case", "p.value")
 
 
-def paired_intervals(base: DataFrame, current: DataFrame, *, by: list[str]) -> DataFrame:
+def paired_intervals(base: DataFrame, current: DataFrame, *, by: list[str], digits: int = 6) -> DataFrame:
     """For each `by`: n, unpaired, mean_delta, df, t_critical, low, high of the differences current less base, one for each case.
 
     Both sides have `by`, case, value, one row per case. A case that one side lacks or has without a value is unpaired.
-    With fewer than two pairs there is no interval, with none no mean.
+    With fewer than two pairs there is no interval, with none no mean. Differences and results are rounded to `digits`.
     """
     one = base.select(*by, "case", F.col("value").alias("b"), F.lit(None).cast("double").alias("c"))
     two = current.select(*by, "case", F.lit(None).cast("double").alias("b"), F.col("value").alias("c"))
-    cases = one.unionByName(two).groupBy(*by, "case").agg(F.max("b").alias("b"), F.max("c").alias("c")).withColumn("d", F.round(F.col("c") - F.col("b"), 6))
+    cases = one.unionByName(two).groupBy(*by, "case").agg(F.max("b").alias("b"), F.max("c").alias("c")).withColumn("d", F.round(F.col("c") - F.col("b"), digits))
     out = cases.groupBy(*by).agg(F.count("d").alias("n"), F.count_if(F.col("d").isNull()).alias("unpaired"), F.avg("d").alias("mean"), F.var_samp("d").alias("var"))
     df = F.when(F.col("n") >= 2, F.col("n") - 1)
     t = F.when(df > len(T_95), NORMAL_95).otherwise(F.get(F.array(*map(F.lit, T_95)), (df - 1).cast("int")))
     half = t * F.sqrt(F.col("var") / F.col("n"))
-    return out.select(*by, "n", "unpaired", F.round("mean", 6).alias("mean_delta"), df.alias("df"), F.when(df.isNotNull(), t).alias("t_critical"),
-                      F.when(df.isNotNull(), F.round(F.col("mean") - half, 6)).alias("low"), F.when(df.isNotNull(), F.round(F.col("mean") + half, 6)).alias("high"))
+    return out.select(*by, "n", "unpaired", F.round("mean", digits).alias("mean_delta"), df.alias("df"), F.when(df.isNotNull(), t).alias("t_critical"),
+                      F.when(df.isNotNull(), F.round(F.col("mean") - half, digits)).alias("low"), F.when(df.isNotNull(), F.round(F.col("mean") + half, digits)).alias("high"))
 
 
 def threshold_choice(intervals: DataFrame, roles: dict[str, str], *, by: list[str], min_cases: int, correctness_min_delta: float, coverage_max_regression: float,

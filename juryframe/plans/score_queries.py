@@ -96,20 +96,20 @@ def control_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 #: Two arms (by line status) of runs over cases (suppliers) in groups (return flags); a case of few runs may lack an arm or a value.
 MEANS = """r AS (SELECT l_returnflag AS "group", l_linestatus AS arm, l_suppkey AS "case", l_discount AS discount, CASE WHEN l_tax > 0.01 THEN l_tax END AS tax, l_quantity / 50 AS share FROM lineitem WHERE l_shipdate < TIMESTAMP '1996-01-01'),
-a AS (SELECT "group", arm, "case", round(avg(discount), 9) AS discount, round(avg(tax), 9) AS tax, round(avg(share), 9) AS share FROM r GROUP BY "group", arm, "case"),
+a AS (SELECT "group", arm, "case", round(avg(discount), 12) AS discount, round(avg(tax), 12) AS tax, round(avg(share), 12) AS share FROM r GROUP BY "group", arm, "case"),
 m AS (SELECT "group", arm, "case", 'discount' AS metric, discount AS value FROM a UNION ALL SELECT "group", arm, "case", 'tax', tax FROM a UNION ALL SELECT "group", arm, "case", 'share', share FROM a)"""
-INTERVALS = f"""{MEANS}, d AS (SELECT coalesce(a."group", b."group") AS "group", coalesce(a.metric, b.metric) AS metric, round(b.value - a.value, 6) AS d FROM (SELECT * FROM m WHERE arm = 'F') a FULL JOIN (SELECT * FROM m WHERE arm = 'O') b ON a."group" = b."group" AND a.metric = b.metric AND a."case" = b."case"),
+INTERVALS = f"""{MEANS}, d AS (SELECT coalesce(a."group", b."group") AS "group", coalesce(a.metric, b.metric) AS metric, round(b.value - a.value, 9) AS d FROM (SELECT * FROM m WHERE arm = 'F') a FULL JOIN (SELECT * FROM m WHERE arm = 'O') b ON a."group" = b."group" AND a.metric = b.metric AND a."case" = b."case"),
 s AS (SELECT "group", metric, count(d) AS n, count(*) - count(d) AS unpaired, avg(d) AS mean, var_samp(d) AS var FROM d GROUP BY ALL),
 t AS (SELECT *, CASE WHEN n > 31 THEN 1.96::DOUBLE WHEN n >= 2 THEN [{", ".join(f"{x}::DOUBLE" for x in S.T_95)}][n - 1] END AS t FROM s),
-i AS (SELECT "group", metric, n, unpaired, round(mean, 6) AS mean_delta, CASE WHEN n >= 2 THEN n - 1 END AS df, t AS t_critical, round(mean - t * sqrt(var / n), 6) AS low, round(mean + t * sqrt(var / n), 6) AS high FROM t)"""
+i AS (SELECT "group", metric, n, unpaired, round(mean, 9) AS mean_delta, CASE WHEN n >= 2 THEN n - 1 END AS df, t AS t_critical, round(mean - t * sqrt(var / n), 9) AS low, round(mean + t * sqrt(var / n), 9) AS high FROM t)"""
 
 
 def arm_intervals(spark: SparkSession, folder: str) -> DataFrame:
     lines = table(spark, folder, "lineitem").where(F.col("l_shipdate") < F.lit("1996-01-01").cast("timestamp"))
     runs = lines.select(F.col("l_returnflag").alias("group"), F.col("l_linestatus").alias("arm"), F.col("l_suppkey").alias("supplier"), F.col("l_discount").alias("discount"),
                         F.when(F.col("l_tax") > 0.01, F.col("l_tax")).alias("tax"), (F.col("l_quantity") / 50).alias("share"))
-    means = S.case_means(runs, ["discount", "tax", "share"], case="supplier", by=["group", "arm"], digits=9)
-    return S.paired_intervals(means.where("arm = 'F'"), means.where("arm = 'O'"), by=["group", "metric"])
+    means = S.case_means(runs, ["discount", "tax", "share"], case="supplier", by=["group", "arm"], digits=12)
+    return S.paired_intervals(means.where("arm = 'F'"), means.where("arm = 'O'"), by=["group", "metric"], digits=9)
 
 
 @query("paired_intervals", f"WITH {INTERVALS} SELECT * FROM i")
