@@ -19,9 +19,9 @@ def changed(hunk: Column, marks: str) -> Column:
     return F.filter(T.tail(body, F.lit(2)), lambda line: F.left(line, F.lit(1)).isin(*marks))
 
 
-def brief(file: Column, header: Column, hunk: Column, width: int) -> Column:
-    return F.concat(file, F.lit(" "), F.left(header, F.lit(140)), F.lit("\n"),
-                    F.left(F.array_join(changed(hunk, "+-"), "\n"), F.lit(width)))
+def brief(file: Column, header: Column, hunk: Column) -> Column:
+    """File, header and changed lines of a hunk, whole."""
+    return F.concat(file, F.lit(" "), header, F.lit("\n"), F.array_join(changed(hunk, "+-"), "\n"))
 
 
 def neighbours(units: DataFrame, *, file: str, id: str, anchor: str, pos: str, k: int, width: int = 10_000) -> DataFrame:
@@ -76,13 +76,12 @@ def name_users(units: DataFrame, near: DataFrame, *, id: str, pos: str, siblings
     return top.select(F.col("id_").alias(id), F.transform("u", lambda e: e["user"]).alias("callers"))
 
 
-def hunk_states(units: DataFrame, *, id: str = "id", pos: str = "pos", siblings: int = 6, users: int = 3,
-                width: int = 700) -> DataFrame:
+def hunk_states(units: DataFrame, *, id: str = "id", pos: str = "pos", siblings: int = 6, users: int = 3) -> DataFrame:
     """State columns of every hunk: file, status, hunk, nearest and using hunks as short texts."""
     u = units.withColumn("_anchor", F.coalesce(F.nullif("line", F.lit(0)), F.nullif("old_line", F.lit(0)), F.lit(0)))
     near = neighbours(u, file="file", id=id, anchor="_anchor", pos=pos, k=siblings)
     callers = name_users(u, near, id=id, pos=pos, siblings=siblings, users=users)
-    briefs = u.select(F.col(id).alias("other"), brief(F.col("file"), F.col("header"), F.col("hunk"), width).alias("text"))
+    briefs = u.select(F.col(id).alias("other"), brief(F.col("file"), F.col("header"), F.col("hunk")).alias("text"))
 
     def texts(df: DataFrame, ids: str, name: str) -> DataFrame:
         flat = df.select(id, F.posexplode(ids).alias("n", "other")).join(briefs, "other")

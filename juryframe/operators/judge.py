@@ -1,7 +1,8 @@
 """Judging: providers, one run with a retry, adoption of delivered results, rows and receipts.
 
-No model ships with this package. `HashJudge` derives answers from digests; it proves plumbing, never quality.
-`BatchJudge` calls a function of the caller on batches of states inside Spark tasks.
+No model ships with this package. `TableJudge` takes results from a table, as a host or a batch service leaves them;
+`BatchJudge` calls a function of the caller on batches of states inside Spark tasks. A task that is repeated before its
+results are written calls that function again.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as TY
 
 from juryframe.functions import answers as A
 from juryframe.rubric import Rubric
-from juryframe.session import cut_lineage
+from juryframe.session import written
 
 ROUTE = ("model", "selected_model", "primary_model", "fallback", "response_model", "cache", "questions",
          "cached_questions")
@@ -27,75 +28,32 @@ ITEM = TY.StructType([
 ])
 TOO_LARGE = "max_tokens_exceeded"
 NOT_DELIVERED = "no result delivered"
+TWICE = "delivered more than once"
 
 
-class HashJudge:
-    """Deterministic stand-in for a model: every answer is arithmetic on a digest of the state."""
-
-    def __init__(self, seed: str = "a", *, faults: bool = True):
-        self.seed, self.faults = seed, faults
-
-    def draw(self, name: str, attempt: int, digest: Column) -> Column:
-        text = F.concat(F.lit(f"{self.seed}:{name}:{attempt}:"), digest)
-        return F.conv(F.substring(F.sha2(text, 256), 1, 8), 16, 10).cast("bigint")
-
-    def weights(self, name: str, attempt: int, digest: Column, n: int) -> list[Column]:
-        left, out = F.lit(10000).cast("bigint"), []
-        for i in range(n - 1):
-            h = self.draw(f"{name}{i}", attempt, digest)
-            take = h % 10001 if i == 0 else F.expr("0").cast("bigint") + F.floor(left * (h % 101) / 100)
-            out.append(take.cast("bigint"))
-            left = left - out[-1]
-        return [*out, left]
-
-    def answers(self, rubric: Rubric, attempt: int, digest: Column) -> Column:
-        parts = []
-        for qid, q in rubric.items():
-            if q.kind == "bool":
-                p = (self.draw(qid, attempt, digest) % 10001) / 10000
-                broken = (self.draw("delivery", attempt, digest) % 41 == 3) & F.lit(self.faults)
-                body = F.struct(F.lit("bool").alias("type"), F.when(broken, 1.5).otherwise(p).alias("bool"))
-            else:
-                names = list(q.criteria) if q.kind == "choice" else [str(i) for i in range(q.levels)]
-                w = self.weights(qid, attempt, digest, len(names))
-                top = F.greatest(*w)
-                if q.kind == "choice":
-                    pick = F.coalesce(*[F.when(x == top, name) for name, x in zip(names, w)])
-                    probs = F.struct(*[(x / 10000).alias(name) for name, x in zip(names, w)])
-                    body = F.struct(F.lit("choice").alias("type"), pick.alias("choice"),
-                                    probs.alias("probabilities"), (top / 10000).alias("confidence"))
-                else:
-                    index = sum((F.lit(i) * x for i, x in enumerate(w)), F.lit(0)) / 10000
-                    dist = F.when(self.draw(qid + ".dist", attempt, digest) % 7 != 0, F.array(*[x / 10000 for x in w]))
-                    body = F.struct(F.lit("score").alias("type"), index.alias("score"),
-                                    (top / 10000).alias("confidence"), dist.alias("probabilities"))
-            parts.append(body.alias(qid))
-        return F.to_json(F.struct(*parts))
+class TableJudge:
+    """Results that a table holds: key, attempt, item. A key without a row in an attempt was not delivered by it.
+
+    An attempt that delivered a key more than once gave no single answer: the item becomes a failure.
+    """
+
+    #: Asking again gives the same answers, so nothing has to be written between attempts.
+    repeatable = True
+
+    def __init__(self, items: DataFrame):
+        self.items = items
 
     def answer(self, df: DataFrame, rubric: Rubric, attempt: int, wanted: Column, name: str) -> DataFrame:
-        digest = F.col("state_sha256")
-        d, r = self.draw("delivery", attempt, digest), self.draw("route", attempt, digest)
-        fault = (F.when(d % 17 == 0, "transport failure").when(d % 97 == 1, TOO_LARGE + ": 40000 tokens")
-                 if self.faults else F.lit(None).cast("string"))
-        lost = (d % 53 == 2) if self.faults else F.lit(False)
-        blank = (r % 23 == 7) if self.faults else F.lit(False)
-        selected = F.when(r % 10 == 0, "stub-b").otherwise("stub-a")
-        item = F.struct(
-            fault.isNull().alias("ok"), fault.alias("error"),
-            F.when(fault.isNull(), self.answers(rubric, attempt, digest)).alias("answers"),
-            F.when(~(r % 29 == 5) | F.lit(not self.faults), selected).alias("model"), selected.alias("selected_model"),
-            F.lit("stub-a").alias("primary_model"), (selected != "stub-a").alias("fallback"),
-            selected.alias("response_model"),
-            F.when(~blank, F.element_at(F.array(F.lit("hit"), F.lit("partial"), F.lit("miss")), (r % 3 + 1).cast("int")))
-            .alias("cache"),
-            F.lit(len(rubric)).alias("questions"),
-            F.when(r % 3 == 0, len(rubric)).when(r % 3 == 1, 1).otherwise(0).alias("cached_questions"))
-        return df.withColumn(name, F.when(wanted & ~lost, item).cast(ITEM))
+        given = single_items(self.items.where(F.col("attempt") == attempt)).select(F.col("key").alias("_key"), F.col("item").alias(name))
+        joined = df.join(given, F.col("id") == F.col("_key"), "left").drop("_key")
+        return joined.withColumn(name, F.when(wanted, F.col(name)))
 
 
 class BatchJudge:
     """`fn(list of (id, state)) -> {id: item dict}` called per Arrow batch. An id it leaves out is not delivered."""
 
+    repeatable = False
+
     def __init__(self, fn: Callable[[list[tuple[str, str]]], dict[str, dict]]):
         self.fn = fn
 
@@ -130,24 +88,27 @@ def oversize(item: Column) -> Column:
     return F.coalesce(F.contains(item["error"], F.lit(TOO_LARGE)), F.lit(False))
 
 
-def run(states: DataFrame, rubric: Rubric, judge, *, grouped: bool = False, qhash: str | None = None) -> DataFrame:
+def run(states: DataFrame, rubric: Rubric, judge, *, grouped: bool = False, qhash: str | None = None, width: int = 8) -> DataFrame:
     """Judge every state, once more those that are neither good nor too large, and return one row per unit.
 
-    The items of each attempt and the rows are written once, so no state is sent again when a task is repeated or a
-    consumer reads the rows twice, and each answer is parsed once. Only states that need it go through the second
-    attempt. `states` needs id, pos, state_sha256, `state` for a BatchJudge and `slots` (array of unit ids) for
-    grouped states.
+    Rows are written once. The items of a judge that isn't `repeatable` are written after each attempt too, so no state
+    is sent again when a consumer reads the rows twice, and only states that need it go through the second attempt.
+    `states` needs id, pos, state_sha256, `state` for a BatchJudge and `slots` (array of unit ids) for grouped states;
+    `width` is the largest number of slots of a state.
     """
     rubric.check_columns()
-    asked = rubric if not grouped else None
     slots = F.col("slots") if grouped else None
-    if grouped:
-        asked = rubric.slotted(getattr(judge, "width", 8))
-    one = cut_lineage(judge.answer(states, asked, 1, F.lit(True), "item"))
-    one = cut_lineage(one.withColumn("_again", ~(good(F.col("item"), rubric, slots) | oversize(F.col("item")))))
-    two = cut_lineage(judge.answer(one.where("_again").drop("item"), asked, 2, F.lit(True), "item"))
-    out = one.where("NOT _again").withColumn("attempt", F.lit(1)).unionByName(two.withColumn("attempt", F.lit(2)))
-    return cut_lineage(to_rows(out.drop("_again"), rubric, grouped=grouped, qhash=qhash))
+    asked = rubric.slotted(width) if grouped else rubric
+    keep = (lambda df: df) if getattr(judge, "repeatable", False) else written
+    one = keep(judge.answer(states, asked, 1, F.lit(True), "item"))
+    one = one.withColumn("_again", ~(good(F.col("item"), rubric, slots) | oversize(F.col("item"))))
+    if not getattr(judge, "repeatable", False):
+        two = keep(judge.answer(one.where("_again").drop("item"), asked, 2, F.lit(True), "item"))
+        out = one.where("NOT _again").withColumn("attempt", F.lit(1)).unionByName(two.withColumn("attempt", F.lit(2)))
+    else:
+        both = judge.answer(one, asked, 2, F.col("_again"), "_second")
+        out = both.withColumn("item", F.when(F.col("_again"), F.col("_second")).otherwise(F.col("item"))).withColumn("attempt", F.when(F.col("_again"), 2).otherwise(1)).drop("_second")
+    return written(to_rows(out.drop("_again"), rubric, grouped=grouped, qhash=qhash))
 
 
 def to_rows(items: DataFrame, rubric: Rubric, *, grouped: bool = False, qhash: str | None = None) -> DataFrame:
@@ -178,19 +139,34 @@ def to_rows(items: DataFrame, rubric: Rubric, *, grouped: bool = False, qhash: s
     return rows.withColumn("provenance_unknown", A.provenance_unknown())
 
 
+def single_items(items: DataFrame) -> DataFrame:
+    """(key, item) with one row per key; a key delivered more than once is a failure, whatever its items say."""
+    per = items.groupBy("key").agg(F.count("*").alias("n"), F.any_value("item").alias("one"))
+    nothing = F.lit(None)
+    twice = F.struct(F.lit(False).alias("ok"), F.lit(TWICE).alias("error"), *[nothing.cast(f.dataType).alias(f.name) for f in ITEM.fields[2:]]).cast(ITEM)
+    return per.select("key", F.when(F.col("n") > 1, twice).otherwise(F.col("one").cast(ITEM)).alias("item"))
+
+
 def adopt(states: DataFrame, items: DataFrame, rubric: Rubric, *, grouped: bool = False) -> DataFrame:
     """Bind delivered results (key, item) to submitted states. A state without a result becomes an error row.
 
-    `refused_results` lists results for keys nobody submitted; they are never dropped silently.
+    A result for a key that nobody submitted, and a key delivered twice, stop the job: `refused_results` lists them.
     """
-    joined = states.join(items.select(F.col("key").alias("id"), "item"), "id", "left")
-    return to_rows(joined, rubric, grouped=grouped)
+    given = items.groupBy("key").agg(F.count("*").alias("_n"), F.any_value("item").alias("item"))
+    joined = states.join(given, F.col("id") == F.col("key"), "full")
+    bad = F.when(F.col("id").isNull(), "no state was submitted for ").when(F.col("_n") > 1, "delivered more than once: ")
+    # a filter stays in the plan whatever columns a consumer asks for
+    joined = joined.where(F.when(bad.isNotNull(), F.raise_error(F.concat(bad, F.col("key"))).cast("boolean")).otherwise(F.lit(True)))
+    return to_rows(joined.drop("key", "_n"), rubric, grouped=grouped)
 
 
 def one_item_per_key(answers: DataFrame, failures: DataFrame) -> DataFrame:
-    """(key, item) from a table of answers and a table of failures; a key in both becomes a failure."""
+    """(key, item) from a table of answers and a table of failures; a key in both becomes a failure.
+
+    A key that is answered twice stays so, for `adopt` and `refused_results` to find; of several failures the least counts.
+    """
     a = answers.select("key", F.col("answers").alias("a"))
-    f = failures.select("key", F.col("error").alias("e"))
+    f = failures.groupBy("key").agg(F.min("error").alias("e"))
     both = a.join(f, "key", "full_outer")
     error = F.when(F.col("a").isNotNull() & F.col("e").isNotNull(), "both an answer and a failure were reported").otherwise(F.col("e"))
     nothing = F.lit(None)
@@ -250,7 +226,7 @@ def receipt(rows: DataFrame, rubric: Rubric, *, excluded: DataFrame | None = Non
 
 def conclude(rows: DataFrame, rubric: Rubric, **about) -> tuple[DataFrame, DataFrame]:
     """(rows with coverage_complete, receipt). The rows are written once, so no model is asked twice."""
-    kept = cut_lineage(rows)
+    kept = written(rows)
     note = receipt(kept, rubric, **about)
     flag = note.select(F.col("complete").alias("coverage_complete"))
     return kept.crossJoin(F.broadcast(flag)), note  # one row
@@ -259,12 +235,13 @@ def conclude(rows: DataFrame, rubric: Rubric, **about) -> tuple[DataFrame, DataF
 def latest_outcomes(planned: DataFrame, delivered: DataFrame, keys: DataFrame) -> DataFrame:
     """Each key's outcome from the latest attempt that planned it, even when that attempt delivered nothing.
 
-    planned(attempt, key, failure), delivered(attempt, key, item). Aggregates combine on the map side.
+    planned(attempt, key, failure), delivered(attempt, key, item). An attempt that delivered a key more than once has no
+    single item for it: the issue says so. Repeated keys count once. Aggregates combine on the map side.
     """
     last = planned.groupBy("key").agg(F.max(F.struct("attempt", "failure")).alias("p"))
-    got = last.select("key", F.col("p.attempt").alias("attempt"), F.col("p.failure").alias("failure")).join(
-        delivered, ["attempt", "key"], "left")
-    out = keys.join(got, "key", "left")
-    issue = (F.when(F.col("attempt").isNull(), "not submitted before the interruption")
+    one = delivered.groupBy("attempt", "key").agg(F.count("*").alias("_n"), F.any_value("item").alias("item"))
+    got = last.select("key", F.col("p.attempt").alias("attempt"), F.col("p.failure").alias("failure")).join(one, ["attempt", "key"], "left")
+    out = keys.distinct().join(got, "key", "left")
+    issue = (F.when(F.col("attempt").isNull(), "not submitted before the interruption").when(F.col("_n") > 1, TWICE)
              .when(F.col("item").isNull(), F.coalesce("failure", F.lit(NOT_DELIVERED))))
-    return out.select("key", "attempt", "item", issue.alias("issue"))
+    return out.select("key", "attempt", F.when(F.col("_n") == 1, F.col("item")).alias("item"), issue.alias("issue"))

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from juryframe.functions import answers as A, digest as D, text as T
 from juryframe.operators import judge as J, rows as R, shape as S, units as U
 from juryframe.plans import sqltext as Q
-from juryframe.plans.common import POLICY, RUBRIC, doc_states, judged
+from juryframe.plans.common import POLICY, RUBRIC, WHOLE, answer_json, doc_states, item_of, judged, of_documents, opinions, results
 from juryframe.plans.registry import query
 from juryframe.rubric import EDGES
 from juryframe.sources.tables import document_lines, document_units, table
@@ -27,39 +27,50 @@ def judged_rows(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("id", "attempt", "state_sha256", "error", *[x.strip() for x in ROUTE.split(",")], *[c(n) for n in KNOWN])
 
 
+_UNITS = f"""SELECT CAST(u.doc_id AS VARCHAR) AS id, u.doc_id AS pos, g.state_sha256, u.r % 3 AS slot, g.head FROM u JOIN g ON g.source = u.source AND g.k = u.r // 3"""
+_GROUPED = Q.judged(_UNITS, head="head", own="pos").replace("SELECT st.id, st.pos,", "SELECT st.id, st.slot, st.pos,").replace("SELECT id, pos, state_sha256, attempt, (gone", "SELECT id, slot, pos, state_sha256, attempt, (gone").replace("SELECT id, pos, attempt,", "SELECT id, pos, 's' || slot AS slot, attempt,")
+
+
 @query("grouped_rows", f"""
-WITH u AS (SELECT doc_id, source, {Q.capped('text', 600)} AS t, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS r FROM documents WHERE {Q.nonblank('text')}),
-g AS (SELECT source, r // 3 AS k, sha256('{{"group":' || {Q.json_string('source')} || ',"units":{{' || string_agg('"s' || (r % 3) || '":' || {Q.json_string('t')}, ',' ORDER BY r) || '}}}}') AS state_sha256
+WITH u AS (SELECT doc_id, source, text AS t, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS r FROM documents WHERE {Q.nonblank('text')}),
+g AS (SELECT source, r // 3 AS k, min(doc_id) AS head, sha256('{{"group":' || {Q.json_string('source')} || ',"units":{{' || string_agg('"s' || (r % 3) || '":' || {Q.json_string('t')}, ',' ORDER BY r) || '}}}}') AS state_sha256
   FROM u GROUP BY source, r // 3)
-SELECT id, slot, error, {ANSWERS} FROM {Q.judged("SELECT CAST(u.doc_id AS VARCHAR) AS id, u.doc_id AS pos, g.state_sha256, u.r % 3 AS slot FROM u JOIN g ON g.source = u.source AND g.k = u.r // 3", slot="'@s' || slot").replace("SELECT id, pos, state_sha256,", "SELECT id, pos, slot, state_sha256,").replace("SELECT id, pos, attempt,", "SELECT id, pos, 's' || slot AS slot, attempt,")}""")
+SELECT id, slot, error, {ANSWERS} FROM {_GROUPED}""")
 def grouped_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows of grouped states: one per unit, all in error when any slot of the group does not decode."""
-    made, _ = S.group(document_units(spark, folder), by="file", k=3, cap=600)
-    judge = J.HashJudge()
-    judge.width = 3
-    rows = J.run(made.select("id", "pos", "slots", "state_sha256"), RUBRIC, judge, grouped=True)
+    """Rows of grouped states: one per unit, all in error when the group's delivery failed or any slot does not decode."""
+    made, _ = S.group(document_units(spark, folder), by="file", k=3, cap=WHOLE)
+    states = made.select("id", "pos", "slots", "state_sha256")
+    heads = opinions(spark, folder).select("head", "attempt", F.struct("*").alias("o"))
+    own = opinions(spark, folder, faults=False).select(F.col("head").alias("unit"), F.col("attempt").alias("own_attempt"), F.struct("*").alias("a"))
+    slots = states.select("id", F.col("pos").alias("head"), F.posexplode("slots").alias("slot", "unit")).withColumn("unit", F.col("unit").cast("bigint"))
+    joined = slots.join(heads, "head").join(own, (slots["unit"] == own["unit"]) & (F.col("attempt") == F.col("own_attempt")))
+    answer = answer_json(F.col("a").withField("broken", F.col("o.broken")), F.concat(F.lit("s"), F.col("slot").cast("string")))
+    per = joined.groupBy(F.col("id").alias("key"), "attempt").agg(F.any_value("o").alias("o"), F.concat_ws(",", F.array_sort(F.collect_list(answer))).alias("answers"))  # three slots at most
+    judge = J.TableJudge(per.select("key", "attempt", item_of(F.col("o"), F.col("answers")).alias("item")))
+    rows = J.run(states, RUBRIC, judge, grouped=True, width=3)
     return rows.select("id", "slot", "error", *[c(n) for n in KNOWN])
 
 
-@query("batch_judge_rows", f"SELECT id, error, verdict, safe FROM {Q.judged(Q.doc_states(), faults=False)}")
+@query("batch_judge_rows", f"""
+WITH t AS (SELECT CAST(doc_id AS VARCHAR) AS id, length(text) % 101 * 100 AS v0, length(text) - length(replace(text, 'e', '')) AS e, length(text) - length(replace(text, ' ', '')) AS s FROM documents WHERE {Q.nonblank('text')}),
+w AS (SELECT *, (10000 - v0) * (e % 101) // 100 AS v1 FROM t)
+SELECT id, NULL AS error, CASE WHEN v0 >= v1 AND v0 >= 10000 - v0 - v1 THEN 'keep' WHEN v1 >= 10000 - v0 - v1 THEN 'revise' ELSE 'drop' END AS verdict, (s * 7 % 10001) / 10000 AS safe FROM w""")
 def batch_judge_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """The same answers from a Python function that is called on batches inside the tasks."""
-    import hashlib
+    """Every whole text judged by a Python function that is called on batches inside the tasks; here it goes by length, letters and spaces."""
     import json
 
     def ask(batch: list[tuple[str, str]]) -> dict[str, dict]:
         out = {}
-        for key, digest in batch:
-            draw = lambda name: int(hashlib.sha256(f"a:{name}:1:{digest}".encode()).hexdigest()[:8], 16)
-            a = draw("verdict0") % 10001
-            b = (10000 - a) * (draw("verdict1") % 101) // 100
+        for key, text in batch:
+            a = len(text) % 101 * 100
+            b = (10000 - a) * (text.count("e") % 101) // 100
             w = {"keep": a, "revise": b, "drop": 10000 - a - b}
             out[key] = {"ok": True, "answers": json.dumps({
                 "verdict": {"choice": max(w, key=w.get), "probabilities": {n: v / 10000 for n, v in w.items()}, "confidence": max(w.values()) / 10000},
-                "safe": {"bool": draw("safe") % 10001 / 10000}, "quality": {"score": 1.0, "confidence": 1.0, "probabilities": None}})}
+                "safe": {"bool": text.count(" ") * 7 % 10001 / 10000}, "quality": {"score": 1.0, "confidence": 1.0, "probabilities": None}})}
         return out
 
-    states = doc_states(spark, folder).select("id", "pos", "state_sha256", F.col("state_sha256").alias("state"))
+    states = doc_states(spark, folder).select("id", "pos", "state_sha256", "state")
     return J.run(states, RUBRIC, J.BatchJudge(ask)).select("id", "error", "verdict", "safe")
 
 
@@ -86,8 +97,8 @@ FROM {Q.judged(Q.doc_states(), faults=False)}""")
 def adopted_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Results a host already holds, bound to the submitted states."""
     states = doc_states(spark, folder).select("id", "pos", "state_sha256")
-    answers = J.HashJudge(faults=False).answers(RUBRIC, 1, F.col("state_sha256"))
-    given = states.where(F.col("pos") % 5 != 0).select(F.col("id").alias("key"), answers.alias("answers"))
+    held = opinions(spark, folder, faults=False).where("attempt = 1").select("head", F.concat(F.lit("{"), answer_json(F.struct("*")), F.lit("}")).alias("answers"))
+    given = states.where(F.col("pos") % 5 != 0).join(held, F.col("pos") == F.col("head")).select(F.col("id").alias("key"), "answers")
     failed = states.where(F.col("pos") % 7 == 0).select(F.col("id").alias("key"), F.lit("host failure").alias("error"))
     return J.adopt(states, J.one_item_per_key(given, failed), RUBRIC).select("id", "error", "verdict", "safe", "provenance_unknown")
 
@@ -143,13 +154,13 @@ REASON = f"""nullif(concat_ws('; ', CASE WHEN {TOP} < 0.5 THEN 'verdict:low_top_
   CASE WHEN "quality.dist" IS NULL THEN 'quality:score_distribution_unavailable' WHEN sqrt({VAR}) > 0.8 THEN 'quality:wide_score' END), '')"""
 FLAGS = f"""SELECT id, error, list_filter([CASE WHEN error IS NOT NULL THEN 'error' END, CASE WHEN error IS NULL THEN 'coverage_incomplete' END,
   CASE WHEN error IS NULL AND provenance_unknown THEN 'provenance_unknown' END, CASE WHEN error IS NULL AND fallback THEN 'fallback:' || selected_model END,
-  CASE WHEN error IS NULL THEN {REASON} END, CASE WHEN long > 0 THEN 'truncated' END], lambda x: x IS NOT NULL) AS why
-FROM (SELECT j.*, "quality.dist"[2] + 2 * "quality.dist"[3] AS m, (SELECT length(text) > 12000 FROM documents WHERE doc_id = pos) AS long FROM {ROWS} j)"""
+  CASE WHEN error IS NULL THEN {REASON} END, CASE WHEN big THEN 'unmeasured' END], lambda x: x IS NOT NULL) AS why
+FROM (SELECT j.*, "quality.dist"[2] + 2 * "quality.dist"[3] AS m, (SELECT octet_length(encode({Q.json_string('text')})) > 32000 FROM documents WHERE doc_id = pos) AS big FROM {ROWS} j)"""
 
 
 def _flagged(spark: SparkSession, folder: str) -> DataFrame:
     states = doc_states(spark, folder)
-    rows, _ = J.conclude(J.run(states.select("id", "pos", "state_sha256"), RUBRIC, J.HashJudge()), RUBRIC)
+    rows, _ = J.conclude(J.run(states.select("id", "pos", "state_sha256"), RUBRIC, of_documents(spark, folder)), RUBRIC)
     return R.flag(rows, R.policy_rule(POLICY, RUBRIC), report=states)
 
 
@@ -168,7 +179,7 @@ def flag_reasons(spark: SparkSession, folder: str) -> DataFrame:
 @query("signature_triage", f"""
 WITH s AS (SELECT {Q.signature('text')} AS signature FROM {Q.doc_lines()} WHERE {Q.nonblank('text')}),
 g AS (SELECT signature, count(*) AS n FROM s GROUP BY signature),
-j AS {Q.judged(f"SELECT substr(sha1(signature), 1, 10) AS id, n AS pos, sha256({Q.json_string('signature')}) AS state_sha256 FROM g")}
+j AS {Q.judged(f"SELECT substr(sha1(signature), 1, 10) AS id, n AS pos, CAST('0x' || substr(sha1(signature), 1, 6) AS BIGINT) % 199 AS head, sha256({Q.json_string('signature')}) AS state_sha256 FROM g", head="head")}
 SELECT reason, count(*) AS signatures, CAST(sum(pos) AS BIGINT) AS lines FROM (
   SELECT pos, unnest(list_filter([CASE WHEN error IS NOT NULL THEN 'error' END, CASE WHEN error IS NULL THEN 'coverage_incomplete' END,
     CASE WHEN error IS NULL AND provenance_unknown THEN 'provenance_unknown' END, CASE WHEN error IS NULL AND fallback THEN 'fallback:stub-b' END], lambda x: x IS NOT NULL)) AS reason FROM j) GROUP BY reason""")
@@ -176,7 +187,8 @@ def signature_triage(spark: SparkSession, folder: str) -> DataFrame:
     """Flagship: lines to signatures, signatures to the judge, flags counted by reason with the lines they stand for."""
     units = U.line_units(document_lines(spark, folder), order=["doc_id", "line"], examples=0)
     states = units.select("id", F.col("count").alias("pos"), D.text_digest(F.col("signature")).alias("state_sha256"))
-    rows = J.run(states, RUBRIC, J.HashJudge())
+    keys = units.select(F.col("id").alias("key"), (F.conv(F.substring("id", 1, 6), 16, 10).cast("bigint") % 199).alias("head"))
+    rows = J.run(states, RUBRIC, results(spark, folder, keys))
     flagged = R.flag(rows).select("pos", F.explode("why").alias("reason"))
     return flagged.groupBy("reason").agg(F.count("*").alias("signatures"), F.sum("pos").alias("lines"))
 
@@ -246,8 +258,8 @@ def _mixed(a: str, b: str, mod: int, text: str = "text") -> str:
 def mixed(spark: SparkSession, folder: str, a: str, b: str, mod: int, text: Column | None = None) -> DataFrame:
     """Rows of two judges: `b` takes every `mod`-th document."""
     st = doc_states(spark, folder, text=text).select("id", "pos", "state_sha256")
-    return J.run(st.where(F.col("pos") % mod != 0), RUBRIC, J.HashJudge(a)).unionByName(
-        J.run(st.where(F.col("pos") % mod == 0), RUBRIC, J.HashJudge(b)))
+    return J.run(st.where(F.col("pos") % mod != 0), RUBRIC, of_documents(spark, folder, a)).unionByName(
+        J.run(st.where(F.col("pos") % mod == 0), RUBRIC, of_documents(spark, folder, b)))
 
 
 def _gate_sql(value: str, moved: str) -> str:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from juryframe.functions import digest as D, text as T
 from juryframe.operators import shape as S, units as U
 from juryframe.plans import sqltext as Q
-from juryframe.plans.common import RUBRIC, cat, doc_states
+from juryframe.plans.common import RUBRIC, WHOLE, cat, doc_states
 from juryframe.plans.registry import query
 from juryframe.rubric import limits, power
 from juryframe.sources.tables import document_units, table
@@ -32,14 +32,14 @@ WITH s AS (SELECT octet_length(encode({Q.json_string('text')})) AS n FROM docume
 SELECT count(*) AS states, count(*) FILTER (n > 32000) AS unmeasured, CAST(sum(n) AS BIGINT) AS bytes, CAST(max(n) AS BIGINT) AS largest FROM s""")
 def state_sizes(spark: SparkSession, folder: str) -> DataFrame:
     """Byte sizes of whole states; those above the byte bound would need a tokenizer."""
-    st = S.states(document_units(spark, folder), cap=2 ** 30).where(F.col("status") == "submitted")
+    st = S.states(document_units(spark, folder), cap=WHOLE).where(F.col("status") == "submitted")
     size = F.octet_length(D.json_string(F.col("state")))
     return st.agg(F.count("*").alias("states"), F.count_if("unmeasured").alias("unmeasured"),
                   F.sum(size.cast("bigint")).alias("bytes"), F.max(size.cast("bigint")).alias("largest"))
 
 
 GROUPED = f"""
-u AS (SELECT doc_id, source, {Q.capped('text', CAP)} AS t, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS r FROM documents WHERE {Q.nonblank('text')}),
+u AS (SELECT doc_id, source, text AS t, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS r FROM documents WHERE {Q.nonblank('text')}),
 g AS (SELECT source, r // 8 + 1 AS chunk, min(doc_id) AS pos, list(CAST(doc_id AS VARCHAR) ORDER BY r) AS slots,
   '{{"group":' || {Q.json_string('source')} || ',"units":{{' || string_agg('"s' || (r % 8) || '":' || {Q.json_string('t')}, ',' ORDER BY r) || '}}}}' AS state
   FROM u GROUP BY source, r // 8)"""
@@ -48,7 +48,7 @@ g AS (SELECT source, r // 8 + 1 AS chunk, min(doc_id) AS pos, list(CAST(doc_id A
 @query("group_states", f"WITH {GROUPED} SELECT source || '#' || chunk AS id, source AS group_key, slots, sha256(state) AS state_sha256 FROM g")
 def group_states(spark: SparkSession, folder: str) -> DataFrame:
     """Documents grouped by source in chunks of eight, with slots and state digest."""
-    made, _ = S.group(document_units(spark, folder), by="file", k=8, cap=CAP)
+    made, _ = S.group(document_units(spark, folder), by="file", k=8, cap=WHOLE)
     return made.select("id", "group_key", "slots", "state_sha256")
 
 
@@ -91,7 +91,7 @@ FROM (SELECT doc_id, CAST(octet_length(encode({Q.json_string('text')})) AS INTEG
 
 
 def _requests(spark: SparkSession, folder: str) -> DataFrame:
-    return S.request_sizes(doc_states(spark, folder, 2 ** 30), RUBRIC, total=8_000, single=4_000)
+    return S.request_sizes(doc_states(spark, folder), RUBRIC, total=8_000, single=4_000)
 
 
 @query("request_sizes", REQUESTS)

@@ -62,40 +62,35 @@ def capped(x: str, cap: int) -> str:
     return f"(CASE WHEN length({x}) <= {cap} THEN {x} {cases} END)"
 
 
-def draw(seed: str, name: str, attempt: int | str, digest: str) -> str:
-    return f"CAST('0x' || substr(sha256('{seed}:{name}:{attempt}:' || {digest}), 1, 8) AS BIGINT)"
+#: Which of the five events on a document the two attempts of each judge take.
+JUDGES = {"a": (0, 1), "b": (2, 3), "c": (3, 4), "p": (4, 0)}
 
 
-def judged(states: str, seed: str = "a", faults: bool = True, slot: str = "''") -> str:
-    """Rows of the stand-in judge over a sub-query (id, pos, state_sha256), for the standard rubric.
+def judged(states: str, judge: str = "a", faults: bool = True, head: str = "pos", own: str | None = None) -> str:
+    """Rows of the results that the event table holds for a sub-query (id, pos, state_sha256), for the standard rubric.
 
-    `slot` is the text a grouped run adds to each question name.
+    `head` is the document whose event tells how the delivery went, `own` (the same, if not given) the one whose event answers.
     """
 
     def attempt(n: int) -> str:
-        def g(name: str) -> str:
-            stem = name.rstrip("01").removesuffix(".dist")
-            mid = slot if stem in ("verdict", "safe", "quality") else "''"
-            return f"CAST('0x' || substr(sha256('{seed}:{stem}' || {mid} || '{name[len(stem):]}:{n}:' || state_sha256), 1, 8) AS BIGINT)"
-
-        d, r = g("delivery"), g("route")
-        cols = [f"{d} AS d", f"{r} AS r", f"{g('verdict0')} % 10001 AS v0", f"{g('verdict1')} % 101 AS v1h",
-                f"{g('safe')} % 10001 AS s", f"{g('quality0')} % 10001 AS q0", f"{g('quality1')} % 101 AS q1h",
-                f"{g('quality.dist')} % 7 <> 0 AS qd"]
-        return f"SELECT id, pos, state_sha256, {n} AS attempt, {', '.join(cols)} FROM st"
-
-    lost = "d % 53 = 2" if faults else "false"
-    err = ("CASE WHEN d % 17 = 0 THEN 'transport failure' WHEN d % 97 = 1 THEN 'max_tokens_exceeded: 40000 tokens' END"
+        at = JUDGES[judge][n - 1]
+        return (f"SELECT st.id, st.pos, st.state_sha256, {n} AS attempt, d.k IS NULL AS gone, d.k, d.user_id, d.event_type, o.value, o.k AS ok, o.user_id AS ou "
+                f"FROM st LEFT JOIN ev d ON d.event_id = 5 * st.{head} + {at} LEFT JOIN ev o ON o.event_id = 5 * st.{own or head} + {at}")
+
+    lost = "(gone OR k % 53 = 2)" if faults else "gone"
+    err = ("CASE WHEN event_type = 'error' THEN 'transport failure' WHEN event_type = 'purchase' AND k % 5 = 0 THEN 'max_tokens_exceeded: 40000 tokens' END"
            if faults else "NULL")
-    broken = "d % 41 = 3" if faults else "false"
-    blank = "r % 23 = 7" if faults else "false"
-    nomodel = "r % 29 = 5" if faults else "false"
+    broken = "k % 41 = 3" if faults else "false"
+    blank = "user_id % 23 = 7" if faults else "false"
+    nomodel = "user_id % 29 = 5" if faults else "false"
     return f"""(
   WITH st AS ({states}),
+  ev AS (SELECT event_id, user_id, event_type, value, json_extract_string(props, '$.k')::BIGINT AS k FROM events),
   raw AS ({attempt(1)} UNION ALL {attempt(2)}),
+  tall AS (SELECT *, least(floor(value * 100)::BIGINT, 10000) AS v0, (ok * 97 + ou * 31) % 101 * 100 AS q0 FROM raw),
   item AS (
-    SELECT id, pos, state_sha256, attempt, {lost} AS lost, {err} AS err, {broken} AS broken, r, s,
-      v0, (10000 - v0) * v1h // 100 AS v1, q0, (10000 - q0) * q1h // 100 AS q1, qd FROM raw),
+    SELECT id, pos, state_sha256, attempt, {lost} AS lost, {err} AS err, {broken} AS broken, k, user_id, user_id AS r, ou * 67 % 10001 AS s,
+      v0, (10000 - v0) * ok // 100 AS v1, q0, (10000 - q0) * (ou % 101) // 100 AS q1, ok % 7 <> 0 AS qd FROM tall),
   two AS (
     SELECT *, 10000 - v0 - v1 AS v2, 10000 - q0 - q1 AS q2,
       (NOT lost AND err IS NULL AND NOT broken) AS good,
@@ -123,7 +118,7 @@ def judged(states: str, seed: str = "a", faults: bool = True, slot: str = "''")
   FROM done)"""
 
 
-def doc_states(cap: int = 12000, where: str = "true", text: str = "text") -> str:
+def doc_states(where: str = "true", text: str = "text") -> str:
     """id, pos, state_sha256 of every document state."""
-    return (f"SELECT CAST(doc_id AS VARCHAR) AS id, doc_id AS pos, sha256({json_string(capped(text, cap))}) AS state_sha256 "
+    return (f"SELECT CAST(doc_id AS VARCHAR) AS id, doc_id AS pos, sha256({json_string(text)}) AS state_sha256 "
             f"FROM documents WHERE {nonblank(text)} AND {where}")

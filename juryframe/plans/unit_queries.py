@@ -252,7 +252,7 @@ def hunk_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 h AS (SELECT p AS f, p || ':+' || (4 * i + 1) AS id, doc_id * 100000 + i AS pos, 4 * i + 1 AS a, 'f' || (i % 5) AS def, i,
   '@@ -' || (4 * i + 1) || ',3 +' || (4 * i + 1) || ',3 @@ part ' || i AS header, coalesce(l[4 * i + 2], '-') AS gone
   FROM (SELECT *, unnest(generate_series(0, (n - 1) // 4)) AS i FROM c WHERE k > 3)),
-b AS (SELECT *, f || ' ' || left(header, 140) || chr(10) || left('-' || gone || chr(10) || '+def ' || def || '(x): f' || ((i + 1) % 5), 700) AS t FROM h),
+b AS (SELECT *, f || ' ' || header || chr(10) || '-' || gone || chr(10) || '+def ' || def || '(x): f' || ((i + 1) % 5) AS t FROM h),
 near AS (SELECT x.id, list(y.id) AS ids, list(y.t ORDER BY y.n) AS texts FROM b x JOIN LATERAL (
   SELECT z.id, z.t, row_number() OVER (ORDER BY abs(z.a - x.a), z.pos) AS n FROM b z WHERE z.f = x.f AND z.id <> x.id) y ON y.n <= 6 GROUP BY x.id),
 u AS (SELECT def, id, pos, t, row_number() OVER (PARTITION BY def ORDER BY pos) AS r FROM (
