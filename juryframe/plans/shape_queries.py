@@ -172,7 +172,7 @@ def unit_facts(spark: SparkSession, folder: str) -> DataFrame:
     """Facts per unit, check errors, rule settlement before any judge, and missing fields."""
     docs = table(spark, folder, "documents").withColumn("lang", F.when(F.col("doc_id") % 13 == 0, "").otherwise(F.col("lang")))
     checks = {"lines": F.size(T.lines(F.col("text"))), "ratio": F.try_divide(F.lit(100), F.col("doc_id") % 29), "mail": F.col("text").rlike("@")}
-    got = U.facts(docs, checks, settle=F.when(F.col("n_chars") < 200, "drop"), requires={"verdict": ["lang"]})
+    got = U.facts(docs, checks, failed={"ratio": F.col("doc_id") % 29 == 0}, settle=F.when(F.col("n_chars") < 200, "drop"), requires={"verdict": ["lang"]})
     return got.select(F.col("doc_id").cast("string").alias("id"), F.col("facts.lines").alias("lines"), F.array_join("check_errors", ",").alias("check_errors"),
                       "settled", F.array_join("missing_verdict", ",").alias("missing"))
 

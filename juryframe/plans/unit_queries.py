@@ -148,8 +148,9 @@ p AS (SELECT doc_id, i, CASE WHEN i % 12 = 5 THEN ['## Part ' || (i % 3) || ' ##
 q AS (SELECT *, sum(len(piece)) OVER (PARTITION BY doc_id ORDER BY i) - len(piece) + 1 AS line,
   count(heading) OVER (PARTITION BY doc_id ORDER BY i) AS s FROM p),
 g AS (SELECT doc_id, s, coalesce(max(heading), 'preamble') AS heading, CAST(min(line) AS INTEGER) AS line,
-  CAST(max(line + len(piece) - 1) AS INTEGER) AS end_line, array_to_string(flatten(list(piece ORDER BY i)), chr(10)) AS passage FROM q GROUP BY doc_id, s),
-n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, heading ORDER BY s) AS nth, row_number() OVER (PARTITION BY doc_id ORDER BY s) AS section FROM g)
+  CAST(max(line + len(piece) - 1) AS INTEGER) AS end_line, array_to_string(flatten(list(piece ORDER BY i)), chr(10)) AS body FROM q GROUP BY doc_id, s),
+b AS (SELECT *, body || CASE WHEN s < max(s) OVER (PARTITION BY doc_id) THEN chr(10) ELSE '' END AS passage FROM g),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, heading ORDER BY s) AS nth, row_number() OVER (PARTITION BY doc_id ORDER BY s) AS section FROM b)
 SELECT CAST(doc_id AS VARCHAR) AS id, CAST(section AS INTEGER) AS section, heading, CAST(nth AS INTEGER) AS nth, line, end_line, passage,
   substr(sha256('["' || heading || '",' || nth || ']'), 1, 20) AS key FROM n""")
 def markdown_sections(spark: SparkSession, folder: str) -> DataFrame:
@@ -238,13 +239,14 @@ def patch_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("hunk_neighbours", PATCH_SQL + """,
 h AS (SELECT 'src/' || split_part(p, '/', 2) AS f, p || ':+' || (4 * i + 1) AS id, doc_id * 100000 + i AS pos, 4 * i + 1 + doc_id % 7 AS a
-  FROM (SELECT *, unnest(generate_series(0, (n - 1) // 4)) AS i FROM c WHERE k > 3))
+  FROM (SELECT *, unnest(generate_series(0, (n - 1) // 4)) AS i FROM c WHERE k > 3)
+  UNION ALL SELECT 'src/' || split_part(p, '/', 2), p || [':+1', ':-1', '.new:meta', ':meta'][k + 1], doc_id * 100000, CASE k WHEN 0 THEN 1 ELSE 0 END + doc_id % 7 FROM c WHERE k <= 3)
 SELECT x.id, (SELECT list(y.id ORDER BY abs(y.a - x.a), y.pos)[1:6] FROM h y WHERE y.f = x.f AND y.id <> x.id) AS near FROM h x""")
 def hunk_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     """The six nearest hunks of each hunk, when one file is a whole source folder."""
-    rows = U.patch_hunks(patches(spark, folder).where(F.col("pos") % 6 > 3), scope=["patch_id", "pos"])
+    rows = U.patch_hunks(patches(spark, folder), scope=["patch_id", "pos"])
     rows = rows.select(F.regexp_extract("file", "^(src/[^/]+)/", 1).alias("file"), "id",
-                       (F.col("pos") * 100000 + F.col("hunk_pos")).alias("p"), (F.col("line") + F.col("pos") % 7).alias("a"))
+                       (F.col("pos") * 100000 + F.col("hunk_pos")).alias("p"), (F.coalesce("line", F.lit(0)) + F.col("pos") % 7).alias("a"))
     return H.neighbours(rows, file="file", id="id", anchor="a", pos="p", k=6)
 
 
@@ -261,10 +263,11 @@ ask AS (SELECT x.id, u.t, row_number() OVER (PARTITION BY x.id ORDER BY u.pos) A
   LEFT JOIN near ON near.id = x.id WHERE NOT coalesce(list_contains(near.ids, u.id), false))
 SELECT b.id, b.f AS file, coalesce(near.texts, []) AS nearest_sibling_hunks,
   coalesce((SELECT list(ask.t ORDER BY n) FROM ask WHERE ask.id = b.id AND n <= 3), []) AS hunks_using_names_defined_here
-FROM b LEFT JOIN near ON near.id = b.id""")
+FROM b LEFT JOIN near ON near.id = b.id
+UNION ALL SELECT p || [':+1', ':-1', '.new:meta', ':meta'][k + 1], CASE k WHEN 2 THEN p || '.new' ELSE p END, [], [] FROM c WHERE k <= 3""")
 def hunk_states(spark: SparkSession, folder: str) -> DataFrame:
     """Every hunk with its nearest hunks and the first hunks that use a name it defines."""
-    rows = U.patch_hunks(patches(spark, folder).where(F.col("pos") % 6 > 3), scope=["patch_id", "pos"])
+    rows = U.patch_hunks(patches(spark, folder), scope=["patch_id", "pos"])
     rows = rows.withColumn("pos", F.col("pos") * 100000 + F.col("hunk_pos"))
     return H.hunk_states(rows).select("id", "file", "nearest_sibling_hunks", "hunks_using_names_defined_here")
 
@@ -288,10 +291,24 @@ def code_functions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("enclosing_functions", """
-SELECT p_partkey AS file, line, CASE WHEN line <= 4 THEN 'part_' || p_partkey WHEN line >= 7 THEN 'go' END AS function
-FROM part, (VALUES (1), (3), (5), (8)) AS x(line) WHERE p_partkey % 9 <> 0""")
+SELECT p_partkey AS file, line, CASE WHEN p_partkey % 9 = 0 THEN NULL WHEN line <= 4 THEN 'part_' || p_partkey WHEN line >= 7 THEN 'go' END AS function
+FROM part, (VALUES (1), (3), (5), (8), (3)) AS x(line)""")
 def enclosing_functions(spark: SparkSession, folder: str) -> DataFrame:
-    """The first function in walk order that holds a line."""
-    files = code_files(spark, folder).where(F.col("file") % 9 != 0)
-    points = files.select("file", F.explode(F.array(*[F.lit(n) for n in (1, 3, 5, 8)])).alias("line"))
+    """The first function in walk order that holds a line; a file that does not parse has none, and a line asked for twice is answered twice."""
+    files = code_files(spark, folder)
+    points = files.select("file", F.explode(F.array(*[F.lit(n) for n in (1, 3, 5, 8, 3)])).alias("line"))
     return U.enclosing(U.code_units(files, id="file"), points, key="file")
+
+
+@query("enclosing_sections", PATCH_SQL + """,
+s AS (SELECT CAST(doc_id AS VARCHAR) AS id, l, n FROM c), h AS (SELECT id, i AS at, CASE WHEN (i - 1) % 12 = 5 THEN 'Part ' || ((i - 1) % 3) ELSE 'Title' || (id::BIGINT % 2) END AS name,
+  i + (SELECT count(*) FROM (SELECT unnest(generate_series(0, i - 2)) AS j) WHERE j % 12 = 8) + CASE WHEN id::BIGINT % 2 = 0 THEN 2 * (SELECT count(*) FROM (SELECT unnest(generate_series(0, i - 2)) AS j) WHERE j % 12 = 10) ELSE 0 END AS line
+  FROM (SELECT id, unnest(generate_series(1, n)) AS i FROM s) WHERE (i - 1) % 12 IN (5, 8)),
+p AS (SELECT id, unnest([1, 7, 8, 300, 7]) AS line FROM s), t AS (SELECT id, n + len(list_filter(generate_series(0, n - 1), lambda j: j % 12 = 8)) + CASE WHEN id::BIGINT % 2 = 0 THEN 2 * len(list_filter(generate_series(0, n - 1), lambda j: j % 12 = 10)) ELSE 0 END AS total FROM s)
+SELECT p.id AS file, p.line, CASE WHEN p.line <= total THEN coalesce((SELECT arg_max(name, h.line) FROM h WHERE h.id = p.id AND h.line <= p.line), 'preamble') END AS function FROM p JOIN t ON t.id = p.id""")
+def enclosing_sections(spark: SparkSession, folder: str) -> DataFrame:
+    """The Markdown section that holds each of a few lines of every document; a line asked for twice is answered twice."""
+    docs = markdown_docs(spark, folder).where("text <> ''")
+    spans = U.markdown_sections(docs, id="id").select(F.col("id").alias("file"), "line", "end_line", F.col("heading").alias("name"), F.col("section").alias("walk_pos"))
+    points = docs.select(F.col("id").alias("file"), F.explode(F.array(*[F.lit(n) for n in (1, 7, 8, 300, 7)])).alias("line"))
+    return U.enclosing(spans, points, key="file")
