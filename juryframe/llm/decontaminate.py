@@ -132,7 +132,7 @@ def bit_table(prints: DataFrame) -> bytes:
     places = prints.select(F.explode(F.array(F.col("fp").bitwiseAND(BITS - 1), F.shiftrightunsigned("fp", 32).bitwiseAND(BITS - 1))).alias("bit"))
     words = places.groupBy(F.shiftright("bit", 6).cast("int").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 AS int))")).alias("word"))
     table = np.zeros(BITS // 64, np.int64)
-    for row in words.toLocalIterator():
+    for row in words.coalesce(8).toLocalIterator():
         table[row.at] = row.word
     return table.tobytes()
 

@@ -31,8 +31,8 @@ from juryframe.llm.decontaminate import _in, bit_table
 SKETCH = 1 << 18
 BINS = 256
 TILE = 512
-#: Rounds of forests before the rest is searched whole.
-ROUNDS = 6
+#: Rounds of forests before the rest is searched whole; sooner if a round's links are fewer than this share of all pairs tried.
+ROUNDS, WORTH = 6, 0.05
 U64 = np.uint64
 
 
@@ -82,7 +82,7 @@ def sketch(docs: DataFrame, text: str, n: int) -> np.ndarray:
     """Documents per n-gram, by the low bits of its hash: SKETCH counters whatever the corpus."""
     counted = docs.select(F.col(text).cast("binary")).mapInArrow(_count(n), "at int, c long").groupBy("at").agg(F.sum("c").alias("c"))
     out = np.zeros(SKETCH, np.int64)
-    for row in counted.toLocalIterator():
+    for row in counted.coalesce(8).toLocalIterator():
         out[row.at] = row.c
     return out
 
@@ -272,8 +272,8 @@ def _pairs(tiles: DataFrame, part: DataFrame, like: Similar, turn: int | None =
     return rows.repartition(parts, "h", "k", "t1", "t2").sortWithinPartitions("h", "k", "t1", "t2").mapInArrow(_search(like, turn), "x long, y long")
 
 
-def _joined(docs: DataFrame, doc_id: str, text: str, like: Similar, every: bool) -> tuple[DataFrame, DataFrame]:
-    """(rows, links): id, n, rep (least id of equal sets); pairs of reps, all similar ones if `every`, else a spanning set."""
+def _joined(docs: DataFrame, doc_id: str, text: str, like: Similar, every: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, links, edges): id, n, rep (least id of equal sets); pairs of reps, all similar ones if `every`, else a spanning set; edges with the same components."""
     spark = prepare(docs.sparkSession)
     counts = spark.sparkContext.broadcast(sketch(docs, text, like.n).tobytes())
     run, schema = _rows(like, counts)
@@ -299,22 +299,28 @@ def _joined(docs: DataFrame, doc_id: str, text: str, like: Similar, every: bool)
         star = star.join(part.toDF("x", "n", "a"), "x").join(part.toDF("y", "m", "b"), "y").select("x", "y", "n", "m", "a", "b")
         tried = cut(star.mapInArrow(_room(like), "x long, y long").distinct())
         links = _links(docs, tried, doc_id, text, like)
-        turn = 0
+        turn, fresh_links = 0, links
+        known = links.select(F.col("x").alias("node"), F.col("y").alias("root")).limit(0)
         while turn is not None:
             last = turn == ROUNDS
-            known = components(links)
+            # what is known is a set of stars already, so only the new links make steps
+            known = components(known.select(F.col("node").alias("x"), F.col("root").alias("y")).unionByName(fresh_links))
             # components only merge, so the blocks that hold several are among those of the round before
             near = cut(_mixed(near.join(known.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("root", "id"))))
+            if near.isEmpty():
+                fresh_links = links.limit(0)
+                break
             wide = not near.where(F.col("m") > TILE).isEmpty()
             found = cut(_pairs(_tiles(near) if last else _single_tiles(near, turn), part, like, None if last else turn).distinct())
             fresh = cut(found.where("x IS NOT NULL").join(tried, ["x", "y"], "left_anti"))
             verified = _links(docs, fresh, doc_id, text, like)
-            links, tried = links.unionByName(verified), tried.unionByName(fresh)
+            links, tried, fresh_links = links.unionByName(verified), tried.unionByName(fresh), verified
             if last or not wide and found.where("x IS NULL").isEmpty():
                 turn = None  # every open pair was named
             else:
-                turn = ROUNDS if verified.isEmpty() else turn + 1
-    return rows.join(classes, "digest", "left").select("id", "n", "rep"), links
+                turn = turn + 1 if verified.count() > WORTH * tried.count() else ROUNDS
+        edges = known.select(F.col("node").alias("x"), F.col("root").alias("y")).unionByName(fresh_links)
+    return rows.join(classes, "digest", "left").select("id", "n", "rep"), links, links if every else edges
 
 
 def similar_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", like: Similar = Similar()) -> tuple[DataFrame, DataFrame]:
@@ -325,8 +331,8 @@ def similar_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
     id; `component` is the least id reachable. Rows that share an id are one node. A null id has a null component.
     Links hold one spanning set for each component, not every similar pair; `similar_pairs` has them all.
     """
-    rows, links = _joined(docs, doc_id, text, like, False)
-    final = components(links)
+    rows, links, edges = _joined(docs, doc_id, text, like, False)
+    final = components(edges)
     owned = rows.withColumn("rep", F.coalesce("rep", "id"))
     owned = owned.join(final, owned["rep"] == final["node"], "left")
     return owned.select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("root", "rep")).alias("component")), links
@@ -341,7 +347,7 @@ def similar_pairs(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     """
     named = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("body")).distinct()
     named = cut(named.select(F.xxhash64("doc", "body").alias("node"), "doc", "body"))
-    rows, links = _joined(named, "node", "body", like, True)
+    rows, links, _ = _joined(named, "node", "body", like, True)
     rows = cut(rows)
     sizes = rows.where("rep IS NOT NULL").groupBy(F.col("rep").alias("set")).agg(F.count("*").alias("held"))
     ends = links.select(F.col("x").alias("set"), F.col("y").alias("other")).unionByName(links.select(F.col("y").alias("set"), F.col("x").alias("other")))
