@@ -50,7 +50,8 @@ def merged(spans: DataFrame, *, file: str = "file", start: str = "start", stop:
     order, bucket = [F.col("start"), F.col("stop")], run_of(F.col("start"))
     swept = with_running(rows, ["file"], order, bucket, maxes={"far": F.col("stop")}, inclusive=False)
     opens = F.coalesce(F.col("start") > F.col("far") + 1, F.lit(True)).cast("long")
-    numbered = with_running(swept.withColumn("opens", opens), ["file"], order, bucket, sums={"island": F.col("opens")})
+    # of equal spans the one that opens an island comes first
+    numbered = with_running(swept.withColumn("opens", opens), ["file"], [*order, F.col("opens").desc()], bucket, sums={"island": F.col("opens")})
     return numbered.groupBy("file", "island").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.count("*").alias("spans")).drop("island")
 
 

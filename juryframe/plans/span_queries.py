@@ -42,7 +42,7 @@ def span_places(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ISLANDS = f"""s AS {SPANS}, f AS (SELECT *, max(stop) OVER (PARTITION BY file ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM s),
-g AS (SELECT *, sum(CASE WHEN far IS NULL OR start > far + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS i FROM f),
+g AS (SELECT *, sum(CASE WHEN far IS NULL OR start > far + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY start, stop, coalesce(start > far + 1, true) DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS i FROM f),
 m AS (SELECT file, i, min(start) AS start, max(stop) AS stop, count(*) AS spans FROM g GROUP BY file, i)"""
 
 

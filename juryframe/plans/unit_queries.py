@@ -60,10 +60,10 @@ def pattern_hits(spark: SparkSession, folder: str) -> DataFrame:
     return U.context_units(document_units(spark, folder).withColumn("doc", F.col("id")), "[0-9]{3}", file="doc")
 
 
-@query("pattern_hits_fixed", CONTEXT % ("'(?i)copyright \\(c\\)'", 1, 1))
+@query("pattern_hits_fixed", CONTEXT % (r"'(?i)\+1 \(5'", 1, 1))
 def pattern_hits_fixed(spark: SparkSession, folder: str) -> DataFrame:
     """A fixed string in any case, one line of context, and a refusal above a limit."""
-    return U.context_units(document_units(spark, folder).withColumn("doc", F.col("id")), "Copyright (c)", file="doc",
+    return U.context_units(document_units(spark, folder).withColumn("doc", F.col("id")), "+1 (5", file="doc",
                            context=1, fixed=True, case=False, max_units=2 ** 40)
 
 
