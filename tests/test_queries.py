@@ -27,4 +27,4 @@ def test_training_data_queries_come_with_their_package():
     except ModuleNotFoundError:
         assert set(entry.queries()) == set(QUERIES)
     else:
-        assert {f"op{n}" for n in range(1, 11)} <= {q.split("_")[0] for q in entry.queries()} and "pipeline" in entry.queries()
+        assert {f"op{n}" for n in range(1, 14)} <= {q.split("_")[0] for q in entry.queries()} and "pipeline" in entry.queries()
