@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from juryframe.llm.common import let, word_array, wrapped
+from juryframe.llm.common import cut, let, word_array, wrapped
 
 # Common words of each language, commonest first.
 COMMON = {
@@ -86,7 +86,7 @@ def _common(w: Column, known: Column) -> Column:
     return F.when(known.isNotNull(), let(found, counts))
 
 
-def measures(docs: DataFrame, *, text: str = "text", lang: str = "lang", repeats: bool = True) -> DataFrame:
+def measures(docs: DataFrame, *, text: str = "text", lang: str = "lang") -> DataFrame:
     """`docs` with `_q`: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, language, char and word histograms.
 
     Characters fall into lower-case letters, symbols, full stops and commas, white space, and all others. A null text
@@ -104,7 +104,7 @@ def measures(docs: DataFrame, *, text: str = "text", lang: str = "lang", repeats
         return let(word_array(t), lambda w: let(known, lambda k: F.struct(
             F.size(w).alias("n_words"), F.length(F.array_join(w, "")).alias("word_chars"), (total - _less(t, SYMBOLS)).alias("n_symbols"),
             let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).alias("n_dup_lines"),
-            (repeated_words(w) if repeats else F.lit(None).cast("long")).alias("n_repeat_words"), total.alias("total"),
+            repeated_words(w).alias("n_repeat_words"), total.alias("total"),
             (total - F.length(F.regexp_replace(t, LETTERS, ""))).alias("letters"), (total - _less(t, STOPS)).alias("stops"), _common(w, k).alias("common"))))
 
     whole = let(body, all_of)
@@ -159,12 +159,10 @@ def verdict(measured: DataFrame, reference: dict[str, dict[str, list[int]]], bou
 
 
 def keep(docs: DataFrame, *, text: str = "text", lang: str = "lang", bounds: Bounds = Bounds()) -> DataFrame:
-    """Documents that pass the rules, all columns kept, whatever their names. References come from a pass over all documents.
+    """Documents that pass the rules, all columns kept, whatever their names.
 
+    One pass measures each text and writes rows and measures to the shared folder; references and verdicts read these.
     Null and empty texts have no words and fail the base rule; repeated rows are judged alike; an empty table stays empty.
     """
-    rows = wrapped(docs, text=F.col(text), lang=F.col(lang))
-    known = references(measures(rows, repeats=False))
-    # a filter isn't pushed below a generated column, so each row is measured once
-    measured = measures(rows).select("row", F.explode(F.array("_q")).alias("_q"))
-    return verdict(measured, known, bounds).where("kept").select("row.*")
+    measured = cut(measures(wrapped(docs, text=F.col(text), lang=F.col(lang))).select("row", "_q"))
+    return verdict(measured, references(measured), bounds).where("kept").select("row.*")
