@@ -309,6 +309,6 @@ SELECT p.id AS file, p.line, CASE WHEN p.line <= total THEN coalesce((SELECT arg
 def enclosing_sections(spark: SparkSession, folder: str) -> DataFrame:
     """The Markdown section that holds each of a few lines of every document; a line asked for twice is answered twice."""
     docs = markdown_docs(spark, folder).where("text <> ''")
-    spans = U.markdown_sections(docs, id="id").select(F.col("id").alias("file"), "line", "end_line", F.col("heading").alias("name"), F.col("section").alias("walk_pos"))
+    spans = U.markdown_sections(docs, id="id", passages=False).select(F.col("id").alias("file"), "line", "end_line", F.col("heading").alias("name"), F.col("section").alias("walk_pos"))
     points = docs.select(F.col("id").alias("file"), F.explode(F.array(*[F.lit(n) for n in (1, 7, 8, 300, 7)])).alias("line"))
     return U.enclosing(spans, points, key="file")
