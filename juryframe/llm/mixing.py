@@ -85,7 +85,7 @@ def schedule(goal: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     point = F.conv(F.reverse(F.lpad(F.bin("slot"), POINT_BITS, "0")), 2, 10).cast("double") / float(1 << POINT_BITS)
     slots = goal.sparkSession.range(total).select(F.col("id").alias("slot")).withColumn("at", point * float(total)).withColumn("cell", F.floor(F.col("at") * CELLS / float(max(total, 1))).cast("int"))
     placed = slots.join(cells, "cell").where((F.col("at") >= F.col("lo")) & (F.col("at") < F.col("hi"))).select("slot", "s", "blocks", F.floor(F.col("slot") / SLOT_CHUNK).alias("chunk"))
-    ranked = running(placed, ["s"], "chunk", ["slot"], F.lit(1).cast("long"), "block").where("block < blocks").select("slot", "s", "block")
+    ranked = cut(running(placed, ["s"], "chunk", ["slot"], F.lit(1).cast("long"), "block").where("block < blocks").select("slot", "s", "block"))
     given = ranked.groupBy("s").agg(F.count("*").alias("given"))
     short = per.join(given, "s", "left").withColumn("given", F.coalesce("given", F.lit(0))).where("given < blocks")
     late = short.select("s", F.explode(F.sequence(F.col("given"), F.col("blocks") - 1)).alias("block"))
@@ -110,8 +110,9 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
     """
     sized = cut(sizes(docs, doc_id=doc_id, text=text, source=source, seed=seed))
     goal = cut(targets(sized, weights=weights, share=share, repeats=repeats))
-    streamed = streams(sized, goal)
-    return streamed, pieces(streamed, schedule(goal, block_words), repeats=repeats, block_words=block_words)
+    # each has many readers: written once, so that no plan holds their windows and joins again for each
+    streamed = cut(streams(sized, goal))
+    return streamed, pieces(streamed, cut(schedule(goal, block_words)), repeats=repeats, block_words=block_words)
 
 
 def taken(streamed: DataFrame, parts: DataFrame) -> DataFrame:

@@ -87,6 +87,29 @@ def sketch(docs: DataFrame, text: str, n: int) -> np.ndarray:
     return out
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Column-group counts in half a byte, one or two bytes each, as the largest needs; they stop at 65,535."""
+    most = counts.max()
+    if most < 16:
+        return (counts[::2] | counts[1::2] << 4).astype(np.uint8).tobytes()
+    return counts.astype(np.uint8).tobytes() if most < 256 else np.minimum(counts, 65535).astype("<u2").tobytes()
+
+
+def _opened(column: pa.Array) -> np.ndarray:
+    """The counts of each row, (rows, BINS)."""
+    blobs = column.to_pylist()
+    size = np.fromiter(map(len, blobs), np.int64, len(blobs))
+    out = np.empty((len(blobs), BINS), np.uint16)
+    for wide, kind in ((BINS // 2, np.uint8), (BINS, np.uint8), (2 * BINS, "<u2")):
+        at = np.flatnonzero(size == wide)
+        if len(at):
+            raw = np.frombuffer(b"".join([blobs[i] for i in at.tolist()]), kind).reshape(len(at), -1)
+            if wide < BINS:
+                raw = np.stack([raw & 15, raw >> 4], 2).reshape(len(at), BINS)
+            out[at] = raw
+    return out
+
+
 def _rows(like: Similar, shared):
     schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("lead", pa.list_(pa.int64())), ("bins", pa.binary())])
 
@@ -101,7 +124,7 @@ def _rows(like: Similar, shared):
                     continue
                 digest = np.array([W.mix(values ^ U64(c)).sum(dtype=U64) for c in (0x243F6A8885A308D3, 0x13198A2E03707344)] + [U64(size)])
                 order = np.lexsort((values, counts[(values & U64(SKETCH - 1)).astype(np.int64)]))[:like.lead(size)]
-                yield ids[row], size, digest.tobytes(), values[order].view(np.int64).tolist(), np.minimum(np.bincount((values >> U64(56)).astype(np.int64), minlength=BINS), 65535).astype("<u2").tobytes()
+                yield ids[row], size, digest.tobytes(), values[order].view(np.int64).tolist(), _packed(np.bincount((values >> U64(56)).astype(np.int64), minlength=BINS))
 
     return lambda source: batches(rows(source), schema, 1024), "id long, n long, digest binary, lead array<long>, bins binary"
 
@@ -144,7 +167,7 @@ def _room(like: Similar):
     def run(source):
         for batch in source:
             x, y, n, m = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            one, two = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u2").reshape(-1, BINS) for i in (4, 5))
+            one, two = _opened(batch.column(4)), _opened(batch.column(5))
             room = np.minimum(one, two).sum(1, dtype=np.int64)
             keep = (room * (like.num + like.den) >= (n + m) * like.num) | (n > 65535)
             yield pa.RecordBatch.from_arrays([pa.array(x[keep]), pa.array(y[keep])], schema=schema)
@@ -207,12 +230,12 @@ def _search(like: Similar, turn: int | None = None):
 
         def groups():
             for batch in source:
-                part = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(10)] + [batch.column(10)]
+                part = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(10)] + [_opened(batch.column(10))]
                 keys = np.stack(part[:4])
                 edges = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1
                 at = [0, *edges.tolist(), batch.num_rows]
                 for lo, hi in zip(at[:-1], at[1:]):
-                    piece = [c[lo:hi] for c in part[:10]] + [np.frombuffer(b"".join(part[10].slice(lo, hi - lo).to_pylist()), "<u2").reshape(-1, BINS)]
+                    piece = [c[lo:hi] for c in part]
                     if held and all(held[0][i][0] == piece[i][0] for i in range(4)):
                         held.append(piece)
                     else:
@@ -279,7 +302,9 @@ def _joined(docs: DataFrame, doc_id: str, text: str, like: Similar, every: bool)
     run, schema = _rows(like, counts)
     rows = cut(docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("binary").alias("body")).mapInArrow(run, schema))
     classes = cut(rows.where("n > 0 AND id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("rep")))
-    reps = rows.select("digest", "id", "n", "lead", "bins").join(classes, "digest").where("id = rep")
+    # dealt by id, as the joins on counts need them
+    owned = cut(classes.groupBy(F.col("rep").alias("id")).agg(F.collect_set("digest").alias("held")))
+    reps = rows.select("digest", "id", "n", "lead", "bins").join(owned, "id").where(F.array_contains("held", F.col("digest")))
     cells = reps.select("id", "n", F.posexplode("lead").alias("pos", "h"))
     blocks = cells.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
     step = math.log(like.den / like.num)

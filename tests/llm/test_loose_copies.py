@@ -4,6 +4,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -144,3 +146,17 @@ def test_added_tokens_stay_whole(spark):
     for r in got:
         ids = coder.encode(texts[r.doc_id][1], add_special_tokens=False).ids + [2]
         assert (r.n_tokens, r.ids_crc32) == (len(ids), binascii.crc32(struct.pack(f"<{len(ids)}I", *ids)))
+
+
+def test_group_counts_keep_their_values_in_few_bytes():
+    rng = np.random.default_rng(3)
+    rows = [rng.integers(0, most, J.BINS) for most in (2, 16, 17, 256, 257, 70_000, 16)]
+    blobs = [J._packed(r) for r in rows]
+    assert len(blobs[0]) == len(blobs[1]) == J.BINS // 2 and max(map(len, blobs)) == 2 * J.BINS
+    assert np.array_equal(J._opened(pa.array(blobs)), np.minimum(rows, 65535))
+
+
+def test_the_mixing_plan_holds_its_windows_once(spark, capsys):
+    docs = spark.createDataFrame([(i, f"word{i} " * (i % 7), "ab"[i % 2]) for i in range(50)], "doc_id long, text string, source string")
+    M.mixed_documents(docs).explain()
+    assert capsys.readouterr().out.count("- Window [") <= 2
