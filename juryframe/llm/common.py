@@ -13,7 +13,7 @@ from juryframe.session import checkpoint_dir
 #: Fixed class of ASCII white space, for Java regular expressions.
 SPACE = r"[\x20\x09-\x0D]+"
 #: The widest Arrow batch sent to a Python worker.
-ARROW_BYTES = "8m"
+ARROW_BYTES = "2m"
 
 
 def prepare(spark: SparkSession) -> SparkSession:

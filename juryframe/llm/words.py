@@ -2,7 +2,7 @@
 
 Both word contracts used here are decided by single bytes, since every byte of a non-ASCII character is above 0x7F.
 A column of texts therefore never has to be decoded: the Arrow buffer is classified by table, and a word's hash is
-the difference of two prefix sums. Texts are handled in chunks of about one megabyte, so memory follows the longest
+the difference of two prefix sums. Texts are handled in chunks of about a quarter of a megabyte, so memory follows the longest
 text and never the batch.
 """
 
@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 U64 = np.uint64
 
 _rng = np.random.default_rng(20240229)
